@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, media, packing, token_files
+from . import byte_bpe, fingerprints, media, packing, quality, token_files, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_VOCABULARY = 49_408
@@ -36,6 +36,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: The policy that op10 applies (fixed values).
+RULES = [url_filter.Rule(v, t) for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge_pages(pages.select("page_id", "url", url_filter.noise_outcome(pages["html"]).alias("outcome")), RULES)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
