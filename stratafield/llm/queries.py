@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, media, packing, personal_data, quality, secrets, token_files, url_filter
+from . import byte_bpe, fingerprints, media, ngram_join, packing, personal_data, quality, secrets, token_files, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_VOCABULARY = 49_408
@@ -57,6 +57,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

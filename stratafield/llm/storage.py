@@ -39,5 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``materialize``, bucketed by ``key``: a later join or cogroup on the
+    key reads the table as it lies and shuffles the other side alone."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
