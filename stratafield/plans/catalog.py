@@ -2,10 +2,759 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Window, functions as F
+
+from stratafield.functions import angles, clock, geodesy, styling
+from stratafield.operators import anomaly, asof, grid, kinematics, layers, radar, segments, spectral, tables
+
+from . import views
+from .views import r6, rounded, sql
+
+HELD: dict[str, tuple[Callable, str | None]] = {}
+LINE = "PARTITION BY line_id ORDER BY seq"
+
+
+def query(oracle: str | None = None):
+    def hold(f):
+        HELD[f.__name__] = (f, oracle)
+        return f
+
+    return hold
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in HELD.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in HELD.items() if s}
+
+
+# tracks
+
+
+def _heads(s, d):
+    return kinematics.heading_backward(views.track(s, d))
+
+
+def _stable(s, d):
+    return kinematics.stability(kinematics.heading_change(kinematics.speed_ms(_heads(s, d))), 5)
+
+
+def _runs(s, d):
+    return segments.islands(_stable(s, d), 75.0, 0.0, 4)
+
+
+def _members(s, d):
+    rows = segments.segment_rows(_stable(s, d), _runs(s, d))
+    return rows.withColumn("direction", angles.cardinal(F.col("mean_heading")))
+
+
+@query(sql("heads", f"SELECT line_id, seq, {r6('heading')} AS heading FROM heads"))
+def track_heading(s, d):
+    return rounded(_heads(s, d), "heading").select("line_id", "seq", "heading")
+
+
+@query(sql("track", f"""SELECT line_id, seq, {r6(f"coalesce(h, lag(h) OVER ({LINE}), 0.0)")} AS heading FROM (SELECT *, CASE WHEN a < 0 THEN a + 360 ELSE a END AS h FROM
+    (SELECT *, degrees(atan2(lead(easting) OVER w - easting, lead(northing) OVER w - northing)) AS a FROM track WINDOW w AS ({LINE})))"""))
+def track_heading_fwd(s, d):
+    return rounded(kinematics.heading_forward(views.track(s, d)), "heading").select("line_id", "seq", "heading")
+
+
+@query(sql("speeds", f"SELECT line_id, seq, {r6('speed')} AS speed FROM speeds"))
+def track_speed(s, d):
+    return rounded(kinematics.speed_ms(views.track(s, d)), "speed").select("line_id", "seq", "speed")
+
+
+@query(sql("track", f"""SELECT line_id, seq, {r6(f"coalesce(x, lag(x) OVER ({LINE}), 0.0)")} AS speed_kmh FROM (
+    SELECT t.*, CASE WHEN t.n - 1 > 5 THEN m.x ELSE t.v END AS x FROM
+      (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, least(500.0, sqrt(pow(lead(easting) OVER w - easting, 2) + pow(lead(northing) OVER w - northing, 2)) / greatest(0.01, least(60.0, (lead(t_ms) OVER w - t_ms) / 1000.0::DOUBLE)) * 3.6) AS v FROM track WINDOW w AS ({LINE})) t
+    LEFT JOIN (SELECT a.line_id, a.seq, avg(b.v) AS x FROM
+        (SELECT line_id, seq, max(seq) OVER (PARTITION BY line_id) AS n FROM track) a JOIN (SELECT line_id, seq, least(500.0, sqrt(pow(lead(easting) OVER w - easting, 2) + pow(lead(northing) OVER w - northing, 2)) / greatest(0.01, least(60.0, (lead(t_ms) OVER w - t_ms) / 1000.0::DOUBLE)) * 3.6) AS v FROM track WINDOW w AS ({LINE})) b
+        ON a.line_id = b.line_id AND a.seq < a.n AND b.v IS NOT NULL JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS o) o
+        ON b.seq = CASE WHEN a.seq + o.o < 0 THEN -1 - (a.seq + o.o) WHEN a.seq + o.o >= a.n THEN 2 * a.n - 1 - (a.seq + o.o) ELSE a.seq + o.o END GROUP BY a.line_id, a.seq) m
+    ON t.line_id = m.line_id AND t.seq = m.seq)"""))
+def track_speed_kmh(s, d):
+    return rounded(kinematics.speed_kmh(views.track(s, d)), "speed_kmh").select("line_id", "seq", "speed_kmh")
+
+
+@query(sql("heads", f"""SELECT a.line_id, a.seq, {r6("(degrees(atan2(avg(sin(radians(b.heading))), avg(cos(radians(b.heading))))) + 360) % 360")} AS smooth_heading FROM
+    (SELECT line_id, seq, count(*) OVER (PARTITION BY line_id) AS n FROM heads) a JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS o) o ON true
+    JOIN heads b ON a.line_id = b.line_id AND b.seq = CASE WHEN a.seq + o.o < 0 THEN -1 - (a.seq + o.o) WHEN a.seq + o.o >= a.n THEN 2 * a.n - 1 - (a.seq + o.o) ELSE a.seq + o.o END GROUP BY a.line_id, a.seq"""))
+def heading_smooth(s, d):
+    return rounded(kinematics.smooth_heading(_heads(s, d), 5), "smooth_heading").select("line_id", "seq", "smooth_heading")
+
+
+@query(sql("changes", f"SELECT line_id, seq, {r6('heading_change')} AS heading_change FROM changes"))
+def heading_change(s, d):
+    return rounded(kinematics.heading_change(_heads(s, d)), "heading_change").select("line_id", "seq", "heading_change")
+
+
+@query(sql("stable", f"SELECT line_id, seq, {r6('stability')} AS stability FROM stable"))
+def stability_metric(s, d):
+    return rounded(_stable(s, d), "stability").select("line_id", "seq", "stability")
+
+
+@query(sql("runs", f"SELECT line_id, start_seq, end_seq, n_rows, {r6('(m0 + 360) % 360')} AS mean_heading FROM runs"))
+def stable_islands(s, d):
+    return rounded(_runs(s, d), "mean_heading").select("line_id", "start_seq", "end_seq", "n_rows", "mean_heading")
+
+
+@query()
+def islands_merged(s, d):
+    track = _stable(s, d)
+    return rounded(segments.merge_islands(track, segments.islands(track, 75.0, 0.0, 2), 15.0, 3), "mean_heading")
+
+
+@query()
+def gamma_segments(s, d):
+    track = kinematics.speed_kmh(kinematics.heading_forward(views.track(s, d)))
+    return rounded(segments.scan_segments(track, 4, 40.0, 5, 6, 0.0, 500.0), "mean_heading")
+
+
+@query(sql("members", f"""SELECT direction, count(DISTINCT line_id * 1000000 + start_seq) AS n_lines, count(*) AS n_points,
+    {r6("(degrees(atan2(avg(sin(radians(heading))), avg(cos(radians(heading))))) + 360) % 360")} AS mean_heading, {r6("stddev_pop(heading)")} AS std_heading FROM members GROUP BY direction"""))
+def segment_stats(s, d):
+    return rounded(segments.segment_statistics(_members(s, d)), "mean_heading", "std_heading")
+
+
+@query(sql("members", f"""SELECT direction, count(*) AS n_segments, CAST(sum(p) AS BIGINT) AS total_points, {r6("avg(p)")} AS avg_points, min(p) AS min_points, max(p) AS max_points
+    FROM (SELECT direction, line_id, start_seq, count(*) AS p FROM members GROUP BY ALL) GROUP BY direction"""))
+def gamma_segment_stats(s, d):
+    return rounded(segments.size_statistics(_members(s, d)), "avg_points")
+
+
+@query(sql("members", "SELECT direction, count(*) AS n_points FROM members GROUP BY direction ORDER BY n_points DESC, direction LIMIT 2"))
+def top_directions(s, d):
+    return segments.top_directions(segments.segment_statistics(_members(s, d))).select("direction", "n_points")
+
+
+@query(sql("members", "SELECT line_id, seq, start_seq, end_seq, direction FROM members"))
+def segment_rows(s, d):
+    return _members(s, d).select("line_id", "seq", "start_seq", "end_seq", "direction")
+
+
+@query(sql("members", "SELECT line_id, start_seq, direction, row_number() OVER (PARTITION BY direction ORDER BY line_id, start_seq) AS line_no FROM (SELECT DISTINCT line_id, start_seq, direction FROM members)"))
+def line_ordinals(s, d):
+    return segments.line_numbers(_members(s, d).select("line_id", "start_seq", "direction").distinct()).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query()
+def heading_groups(s, d):
+    runs = _runs(s, d).withColumns({"survey": F.col("line_id") % 5, "run_no": F.row_number().over(Window.partitionBy(F.col("line_id") % 5).orderBy("line_id", "start_seq"))})
+    return rounded(segments.group_headings(runs.select("survey", "run_no", "line_id", "start_seq", "mean_heading")), "mean_heading")
+
+
+@query(sql("heads", f"SELECT line_id, {r6('(degrees(atan2(avg(sin(radians(heading))), avg(cos(radians(heading))))) + 360) % 360')} AS mean_heading FROM heads GROUP BY line_id"))
+def circular_mean(s, d):
+    return rounded(_heads(s, d).groupBy("line_id").agg(angles.circular_mean(F.col("heading")).alias("mean_heading")), "mean_heading")
+
+
+@query(sql("heads", "SELECT ['North', 'Northeast', 'East', 'Southeast', 'South', 'Southwest', 'West', 'Northwest'][CAST(floor(((heading + 22.5) % 360) / 45) AS INTEGER) + 1] AS sector, count(*) AS n FROM heads GROUP BY 1"))
+def cardinal_bins(s, d):
+    return _heads(s, d).groupBy(angles.cardinal(F.col("heading"), angles.LONG_CARDINALS).alias("sector")).agg(F.count("*").alias("n"))
+
+
+@query(sql("track", f"SELECT line_id, count(*) AS n, {r6('min_by(easting, seq)')} AS first_x, {r6('max_by(northing, seq)')} AS last_y FROM track GROUP BY line_id HAVING count(*) >= 2"))
+def linestrings(s, d):
+    lines = segments.linestrings(views.track(s, d))
+    return lines.select("line_id", F.size("points").cast("long").alias("n"), F.round(F.element_at("points", 1)[0], 6).alias("first_x"), F.round(F.element_at("points", -1)[1], 6).alias("last_y"))
+
+
+@query(sql("track", f"SELECT line_id, seq, round((t_ms - first_value(t_ms) OVER ({LINE})) / 3600000.0::DOUBLE, 8) + 0.0 AS elapsed_h FROM track"))
+def elapsed_hours(s, d):
+    return kinematics.elapsed_hours(views.track(s, d)).select("line_id", "seq", F.round("elapsed_h", 8).alias("elapsed_h"))
+
+
+_STEP = "coalesce(sqrt(pow(easting - lag(easting) OVER w, 2) + pow(northing - lag(northing) OVER w, 2)), 0.0)"
+_DIST = f"dist AS (SELECT line_id, seq, field, sum(st) OVER ({LINE}) AS dist_m FROM (SELECT *, {_STEP} AS st FROM track WINDOW w AS ({LINE})))"
+
+
+def _distances(s, d):
+    track = views.track(s, d)
+    step = F.hypot(F.col("easting") - F.lag("easting").over(kinematics.line()), F.col("northing") - F.lag("northing").over(kinematics.line()))
+    return kinematics.cumulative_m(track, step)
+
+
+@query(sql("track", "SELECT 1").replace("SELECT 1", "").rstrip() + f", {_DIST} SELECT line_id, seq, {r6('dist_m')} AS dist_m FROM dist")
+def cumulative_distance(s, d):
+    return rounded(_distances(s, d), "dist_m").select("line_id", "seq", "dist_m")
+
+
+@query(sql("track", "SELECT 1").replace("SELECT 1", "").rstrip() + f""", {_DIST}, st AS (SELECT *, dist_m - lag(dist_m) OVER ({LINE}) AS d0 FROM dist)
+    SELECT line_id, seq, coalesce(d0 * 1000 >= 50000, true) AS good, {r6(f"first_value(dist_m) OVER ({LINE}) + sum(CASE WHEN coalesce(d0 * 1000 >= 50000, true) THEN coalesce(d0, 0) ELSE 0 END) OVER ({LINE})")} AS clean_m FROM st""")
+def distance_denoise(s, d):
+    return rounded(kinematics.denoise_distance(_distances(s, d), 50000.0), "clean_m").select("line_id", "seq", "good", "clean_m")
+
+
+@query(sql("track", "SELECT 1").replace("SELECT 1", "").rstrip() + f""", {_DIST}, pairs AS (SELECT *, lead(dist_m) OVER ({LINE}) AS d1, lead(field) OVER ({LINE}) AS f1, min(dist_m) OVER (PARTITION BY line_id) AS d0 FROM dist)
+    SELECT line_id, CAST(k AS BIGINT) AS k, {r6("field + (d0 + k * 500.0 - dist_m) / (d1 - dist_m) * (f1 - field)")} AS field FROM
+    (SELECT *, unnest(range(CAST(ceil((dist_m - d0) / 500.0) AS BIGINT), CAST(ceil((d1 - d0) / 500.0) AS BIGINT))) AS k FROM pairs WHERE d1 > dist_m)""")
+def resample_track(s, d):
+    out = kinematics.resample(_distances(s, d), ["field"], 500.0)
+    return rounded(out, "field").select("line_id", F.col("k").cast("long").alias("k"), "field")
+
+
+# base station and walk
+
+
+_BASE = "base AS (SELECT t_ms, min(field) AS nT FROM track WHERE event_type = 'error' GROUP BY t_ms), obs AS (SELECT * FROM track WHERE event_type = 'click')"
+_NEAR = f"""{_BASE}, lo AS (SELECT o.event_id, max_by(b.nT, b.t_ms) AS v, max(b.t_ms) AS t FROM obs o JOIN base b ON b.t_ms < o.t_ms GROUP BY o.event_id),
+    hi AS (SELECT o.event_id, min_by(b.nT, b.t_ms) AS v, min(b.t_ms) AS t FROM obs o JOIN base b ON b.t_ms >= o.t_ms GROUP BY o.event_id),
+    near AS (SELECT o.*, CASE WHEN lo.t IS NULL OR hi.t - o.t_ms < o.t_ms - lo.t THEN hi.t ELSE lo.t END AS base_t, CASE WHEN lo.t IS NULL OR hi.t - o.t_ms < o.t_ms - lo.t THEN hi.v ELSE lo.v END AS base_nT
+      FROM obs o LEFT JOIN lo ON o.event_id = lo.event_id LEFT JOIN hi ON o.event_id = hi.event_id)"""
+_TRACK = sql("track", "SELECT 1").replace("SELECT 1", "").rstrip()
+
+
+def _observed(s, d):
+    track = views.track(s, d)
+    base = track.filter("event_type = 'error'").select("t_ms", F.col("field").alias("nT"))
+    return track.filter("event_type = 'click'"), base
+
+
+@query(_TRACK + f", {_NEAR} SELECT event_id, base_t, {r6('base_nT')} AS base_nT FROM near")
+def nearest_base(s, d):
+    return rounded(asof.nearest(*_observed(s, d), "nT"), "base_nT").select("event_id", "base_t", "base_nT")
+
+
+@query(_TRACK + f", {_NEAR} SELECT event_id, {r6('field - base_nT')} AS r1, {r6('k - base_nT')} AS r2, {r6('(field - base_nT) - (k - base_nT)')} AS va FROM near")
+def diurnal_residual(s, d):
+    observed, base = _observed(s, d)
+    return rounded(asof.diurnal(observed.withColumns({"btotal1": F.col("field"), "btotal2": F.col("k").cast("double")}), base), "r1", "r2", "va").select("event_id", "r1", "r2", "va")
+
+
+@query(_TRACK + """, w AS (SELECT event_id, t_ms FROM track WHERE event_type = 'signup' AND event_id % 10 = 0), r AS (SELECT t_ms, event_id AS row_id FROM track WHERE event_type = 'error')
+    SELECT w.event_id, min_by(r.row_id, (abs(r.t_ms - w.t_ms), r.t_ms, r.row_id)) AS row_id FROM w CROSS JOIN r GROUP BY w.event_id""")
+def waypoint_lookup(s, d):
+    track = views.track(s, d)
+    points = track.filter("event_type = 'signup' AND event_id % 10 = 0").select("event_id", "t_ms")
+    return asof.waypoint_rows(points, track.filter("event_type = 'error'").select("t_ms", F.col("event_id").alias("row_id"))).select("event_id", "row_id")
+
+
+def r9(expression: str) -> str:
+    return f"(round({expression}, 9) + 0.0)"
+
+
+@query(sql("walk", f"""SELECT line_id, seq, {r9("CASE WHEN hi.seq > lo.seq THEN coalesce(lo.lat + (w.seq - lo.seq) / (hi.seq - lo.seq)::DOUBLE * (hi.lat - lo.lat), w.lat) ELSE w.lat END")} AS lat,
+    {r9("CASE WHEN hi.seq > lo.seq THEN coalesce(lo.lon + (w.seq - lo.seq) / (hi.seq - lo.seq)::DOUBLE * (hi.lon - lo.lon), w.lon) ELSE w.lon END")} AS lon FROM
+    (SELECT *, last_value(CASE WHEN fix THEN {{'seq': seq, 'lat': lat, 'lon': lon}} END IGNORE NULLS) OVER (PARTITION BY line_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+      first_value(CASE WHEN fix THEN {{'seq': seq, 'lat': lat, 'lon': lon}} END IGNORE NULLS) OVER (PARTITION BY line_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM walk) w"""))
+def gap_fill(s, d):
+    out = asof.gap_fill(views.walk(s, d), F.col("fix"), ["lat", "lon"])
+    return out.select("line_id", "seq", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query(sql("walk", "SELECT line_id, seq FROM (SELECT *, min(CASE WHEN fix THEN seq END) OVER (PARTITION BY line_id) AS a, max(CASE WHEN fix THEN seq END) OVER (PARTITION BY line_id) AS b FROM walk) WHERE a IS NULL OR seq BETWEEN a AND b"))
+def gps_trim(s, d):
+    return asof.gps_trim(views.walk(s, d), F.col("fix")).select("line_id", "seq")
+
+
+@query(sql("walk", "SELECT line_id, seq FROM walk WHERE lat IS NOT NULL AND lon IS NOT NULL AND lat <> 0 AND lon <> 0"))
+def gps_downsample(s, d):
+    return tables.valid_coordinates(views.walk(s, d), "lat", "lon").select("line_id", "seq")
+
+
+@query(sql("walk", f"""SELECT line_id, seq, {r6('sqrt(bx * bx + "by" * "by" + bz * bz)')} AS btotal FROM walk"""))
+def total_field(s, d):
+    total = F.sqrt(F.col("bx") ** 2 + F.col("by") ** 2 + F.col("bz") ** 2)
+    return views.walk(s, d).select("line_id", "seq", F.round(total, 6).alias("btotal"))
+
+
+@query(sql("walk", f"SELECT line_id, seq, {r6('easting + 0.0375')} AS e1, {r6('northing - 0.56')} AS n1, {r6('easting + 0.0375')} AS e2, {r6('northing + 0.56')} AS n2 FROM walk"))
+def sensor_offsets(s, d):
+    moved = {"e1": F.col("easting") + 0.0375, "n1": F.col("northing") - 0.56, "e2": F.col("easting") + 0.0375, "n2": F.col("northing") + 0.56}
+    return rounded(views.walk(s, d).withColumns(moved), *moved).select("line_id", "seq", *moved)
+
+
+def _utm_sql() -> str:
+    a, e = geodesy.ALPHA, geodesy.E2**0.5
+    xi = " + ".join(["xi0"] + [f"{x!r}::DOUBLE * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, x in enumerate(a, 1)])
+    eta = " + ".join(["eta0"] + [f"{x!r}::DOUBLE * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, x in enumerate(a, 1)])
+    return sql("walk", f"""SELECT line_id, seq, (round(500000 + {geodesy.K0 * geodesy.RECTIFYING!r}::DOUBLE * ({eta}), 3) + 0.0) AS easting, (round({geodesy.K0 * geodesy.RECTIFYING!r}::DOUBLE * ({xi}), 3) + 0.0) AS northing FROM
+        (SELECT *, atan2(t, cos(lam)) AS xi0, atanh(sin(lam) / sqrt(1 + t * t)) AS eta0 FROM (SELECT *, radians(lon - 15) AS lam, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM walk WHERE lat IS NOT NULL))""")
+
+
+@query(_utm_sql())
+def utm_project(s, d):
+    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), 33)
+    return views.walk(s, d).filter("lat IS NOT NULL").select("line_id", "seq", F.round(east, 3).alias("easting"), F.round(north, 3).alias("northing"))
+
+
+_F = f"{geodesy.FLATTENING!r}::DOUBLE"
+
+
+@query(sql("walk", f"""SELECT line_id, (round(sum(CASE WHEN h = 0 THEN 0 ELSE {geodesy.A} * (s - {_F} / 2 * ((s - sin(s)) * pow(sin(p) * cos(q) / cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(q) / sin(s / 2), 2))) END), 3) + 0.0) AS metres FROM
+    (SELECT *, 2 * asin(least(1.0, sqrt(h))) AS s, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS q FROM (SELECT *, pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(dl / 2), 2) AS h FROM
+    (SELECT line_id, atan((1 - {_F}) * tan(radians(lag(lat) OVER w))) AS b1, atan((1 - {_F}) * tan(radians(lat))) AS b2, radians(lon - lag(lon) OVER w) AS dl FROM walk WHERE lat IS NOT NULL WINDOW w AS ({LINE})) WHERE b1 IS NOT NULL)) GROUP BY line_id"""))
+def track_length(s, d):
+    fixes = views.walk(s, d).filter("lat IS NOT NULL")
+    step = geodesy.geodesic_m(F.lag("lat").over(kinematics.line()), F.lag("lon").over(kinematics.line()), F.col("lat"), F.col("lon"))
+    return fixes.withColumn("m", step).filter("m IS NOT NULL").groupBy("line_id").agg(F.round(F.sum("m"), 3).alias("metres"))
+
+
+@query(sql("track", "SELECT event_id, printf('%02d:%02d:%02d.%03d', (t_ms // 3600000) % 24, (t_ms // 60000) % 60, (t_ms // 1000) % 60, t_ms % 1000) AS clock FROM track"))
+def time_text(s, d):
+    return views.track(s, d).select("event_id", clock.clock_text(F.col("t_ms") / 1000.0).alias("clock"))
+
+
+@query(sql("walk", f"""SELECT count(*) AS n, {r6("min(easting)")} AS min_e, {r6("max(easting)")} AS max_e, {r6("avg(bx)")} AS mean_bx, {r6("stddev_samp(bx)")} AS std_bx, {r6("min(bz)")} AS min_bz, {r6("max(bz)")} AS max_bz FROM walk"""))
+def magbase_diagnostics(s, d):
+    out = views.walk(s, d).agg(F.count("*").alias("n"), F.min("easting").alias("min_e"), F.max("easting").alias("max_e"), F.avg("bx").alias("mean_bx"), F.stddev_samp("bx").alias("std_bx"), F.min("bz").alias("min_bz"), F.max("bz").alias("max_bz"))
+    return rounded(out, *out.columns[1:])
+
+
+# tables
+
+
+_STATS = "SELECT '{c}' AS column_name, {m} AS mean, {s} AS std, {a} AS min, {b} AS max, count({c}) AS n, count(*) - count({c}) AS missing FROM lineitem"
+
+
+@query(" UNION ALL ".join(_STATS.format(c=c, m=f"round(avg({c}), 4)", s=f"round(stddev_samp({c}), 4)", a=r6(f"min({c})"), b=r6(f"max({c})")) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def column_stats(s, d):
+    out = tables.column_statistics(views.table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return rounded(out, "min", "max").withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("SELECT CAST(least(floor((c_acctbal - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) GROUP BY 1")
+def histogram(s, d):
+    return tables.histogram(views.table(s, d, "customer"), "c_acctbal", 50)
+
+
+@query("SELECT c_custkey AS row, 0 AS column_no FROM customer WHERE regexp_matches(lower(c_name), '\\b(customer#0*1[0-9])\\b') UNION ALL SELECT c_custkey, 1 FROM customer WHERE regexp_matches(lower(c_mktsegment), '\\b(customer#0*1[0-9])\\b')")
+def cell_search(s, d):
+    return tables.cell_search(views.table(s, d, "customer"), "c_custkey", ["c_name", "c_mktsegment"], "(Customer#0*1[0-9])", is_regex=True, whole_word=True)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id BETWEEN 100 AND 199")
+def row_range(s, d):
+    return tables.row_range(views.table(s, d, "events"), "event_id", 100, 199).select("event_id", "user_id")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_id BETWEEN 9 AND 49")
+def export_slice(s, d):
+    return tables.export_slice(views.table(s, d, "events"), "event_id", ["event_type", "value", "nothing"], (10, 50))
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 10 = 0")
+def systematic_sample(s, d):
+    return tables.every_kth(views.table(s, d, "events"), "event_id", 10).select("event_id", "value")
+
+
+@query(sql("track", f"SELECT line_id, {r6('min(easting)')} AS min_x, {r6('min(northing)')} AS min_y, {r6('max(easting)')} AS max_x, {r6('max(northing)')} AS max_y FROM track GROUP BY line_id"))
+def bounds(s, d):
+    return rounded(tables.bounds(views.track(s, d), "easting", "northing", ["line_id"]), "min_x", "min_y", "max_x", "max_y")
+
+
+@query(sql("track", f"SELECT {r6('min(a)')} AS min_x, {r6('max(b)')} AS max_x FROM (SELECT min(easting) AS a, max(easting) AS b FROM track WHERE line_id % 2 = 0 GROUP BY line_id)"))
+def visible_bounds(s, d):
+    each = tables.bounds(views.track(s, d).filter("line_id % 2 = 0"), "easting", "northing", ["line_id"])
+    return each.agg(F.round(F.min("min_x"), 6).alias("min_x"), F.round(F.max("max_x"), 6).alias("max_x"))
+
+
+@query(sql("track", f"SELECT {r6('avg(v) - 2 * stddev_pop(v)')} AS vmin, {r6('avg(v) + 2 * stddev_pop(v)')} AS vmax FROM (SELECT field AS v FROM track UNION ALL SELECT k FROM track)"))
+def color_range(s, d):
+    return rounded(tables.colour_range(views.track(s, d), ["field", "k"], pooled=True, sample=False), "vmin", "vmax")
+
+
+@query("""SELECT CASE WHEN n < 0.167 THEN '#000080' WHEN n < 0.333 THEN '#0000FF' WHEN n < 0.5 THEN '#00FFFF' WHEN n < 0.667 THEN '#00FF00' WHEN n < 0.833 THEN '#FFFF00' WHEN n < 0.95 THEN '#FF8000' ELSE '#FF0000' END AS colour, count(*) AS n_rows
+    FROM (SELECT greatest(0.0, least(1.0, (c_acctbal + 500.0) / 9000.0)) AS n FROM customer) GROUP BY 1""")
+def color_bucket(s, d):
+    colour = styling.colour_bucket(F.col("c_acctbal"), F.lit(-500.0), F.lit(8500.0))
+    return views.table(s, d, "customer").groupBy(colour.alias("colour")).agg(F.count("*").alias("n_rows"))
+
+
+@query("""SELECT s_suppkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (s_suppkey % 360) || ',' || (s_suppkey % 90) || ']},"properties":{"name":"' || s_name || '","_point_color":"#0066CC"}}' AS feature FROM supplier""")
+def geojson_points(s, d):
+    rows = views.table(s, d, "supplier")
+    return rows.select("s_suppkey", styling.geojson_point(F.col("s_suppkey") % 360, F.col("s_suppkey") % 90, F.struct(F.col("s_name").alias("name")), F.lit("#0066CC")).alias("feature"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer, (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.75) AS b FROM customer) WHERE c_acctbal BETWEEN a - 0.1 * (b - a) AND b + 0.1 * (b - a)")
+def iqr_filter(s, d):
+    return tables.iqr_filter(views.table(s, d, "customer"), "c_acctbal", 0.1).select("c_custkey", "c_acctbal")
+
+
+@query(sql("track", "SELECT event_id FROM track WHERE 10.0 * k BETWEEN 50 AND 900 AND field * k / 100.0 > 1 AND k > 0"))
+def gamma_qc(s, d):
+    return tables.gamma_quality(views.gamma(s, d), "total", ["u238"], "height", 50, 900, 1).select("event_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND regexp_extract(text, '(DEBUG|INFO|WARNING|ERROR|CRITICAL)', 1) IN ('WARNING', 'ERROR', 'CRITICAL')")
+def log_filter(s, d):
+    return tables.log_level(views.table(s, d, "conversations"), "text", "WARNING").select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS row_id FROM orders")
+def row_identity(s, d):
+    return tables.with_row_id(views.table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_id")
+
+
+# statistics
+
+
+@query(sql("track", f"SELECT line_id, seq, {r6('CASE WHEN count(field) OVER w = 5 THEN avg(field) OVER w ELSE field END')} AS smooth FROM track WINDOW w AS ({LINE} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
+def rolling_smooth(s, d):
+    return rounded(anomaly.rolling_mean(views.track(s, d), "field", 5), "smooth").select("line_id", "seq", "smooth")
+
+
+@query(sql("track", f"SELECT event_id, {r6('abs((field - m) / s)')} AS score FROM track, (SELECT avg(field) AS m, stddev_pop(field) AS s FROM track)"))
+def zscore(s, d):
+    return rounded(anomaly.zscore(views.track(s, d), "field"), "score").select("event_id", "score")
+
+
+@query(sql("track", f"SELECT event_id, {r6('abs(field - m) / ((b - a) / 1.349)')} AS score FROM track, (SELECT quantile_cont(field, 0.25) AS a, quantile_cont(field, 0.5) AS m, quantile_cont(field, 0.75) AS b FROM track)"))
+def iqr_score(s, d):
+    return rounded(anomaly.iqr_score(views.track(s, d), "field"), "score").select("event_id", "score")
+
+
+_MAD = "med AS (SELECT median(field) AS m FROM track), mad AS (SELECT median(abs(field - m)) AS d FROM track, med)"
+
+
+@query(_TRACK + f", {_MAD} SELECT event_id, {r6('0.6745 * abs(field - m) / d')} AS score FROM track, med, mad")
+def modified_zscore(s, d):
+    return rounded(anomaly.modified_zscore(views.track(s, d), "field"), "score").select("event_id", "score")
+
+
+@query(_TRACK + f", {_MAD} SELECT {r6('1.4826 * d')} AS noise FROM mad")
+def mad_noise(s, d):
+    return rounded(anomaly.mad_noise(views.track(s, d), "field"), "noise")
+
+
+@query(sql("track", f"SELECT event_id, {r6('(field - m) / sqrt(m)')} AS z FROM track, (SELECT median(field) AS m FROM track)"))
+def poisson_z(s, d):
+    return rounded(anomaly.poisson_z(views.track(s, d), "field"), "z").select("event_id", "z")
+
+
+_GRAD = f"""g AS (SELECT *, coalesce(CASE WHEN lag(field) OVER w IS NULL THEN lead(field) OVER w - field WHEN lead(field) OVER w IS NULL THEN field - lag(field) OVER w ELSE (lead(field) OVER w - lag(field) OVER w) / 2 END, 0.0) AS gradient FROM track WINDOW w AS ({LINE}))"""
+
+
+@query(_TRACK + f", {_GRAD} SELECT event_id, {r6('gradient')} AS gradient, abs(gradient) > t AS flag FROM g, (SELECT quantile_cont(abs(gradient), 0.95) AS t FROM g)")
+def gradient_flags(s, d):
+    return rounded(anomaly.gradient_flags(views.track(s, d), "field"), "gradient").select("event_id", "gradient", "flag")
+
+
+@query()
+def anomaly_chain(s, d):
+    return rounded(anomaly.statistical_anomalies(views.track(s, d), "field"), "score").select("event_id", "score", "is_anomaly")
+
+
+@query(_TRACK + f", {_MAD} SELECT event_id FROM (SELECT *, lag(field) OVER ({LINE}) AS b, lead(field) OVER ({LINE}) AS a FROM track), med, mad WHERE field > b AND field >= a AND field >= m + 0.5 * d")
+def gamma_peaks(s, d):
+    return anomaly.peaks(views.track(s, d), "field", 0.5).select("event_id")
+
+
+# bands
+
+
+@query(sql("bands", f"SELECT l_returnflag, {r6('avg(v)')} AS mean_ndvi, count(*) AS n FROM (SELECT l_returnflag, CASE WHEN nir + red = 0 THEN 0.0 ELSE (nir - red) / (nir + red) END AS v FROM bands) GROUP BY l_returnflag"))
+def ndvi(s, d):
+    rows = views.bands(s, d).withColumn("v", spectral.ndvi(F.col("red"), F.col("nir")))
+    return rounded(rows.groupBy("l_returnflag").agg(F.avg("v").alias("mean_ndvi"), F.count("*").alias("n")), "mean_ndvi")
+
+
+@query(sql("bands", f"SELECT l_returnflag, {r6('avg(greatest(0.0, least(1.0, (nir - a) / (b - a))))')} AS nir_stretched FROM bands, (SELECT quantile_cont(nir, 0.02) AS a, quantile_cont(nir, 0.98) AS b FROM bands) GROUP BY l_returnflag"))
+def contrast_stretch(s, d):
+    return rounded(spectral.stretch(views.bands(s, d), ["nir"]).groupBy("l_returnflag").agg(F.avg("nir_stretched").alias("nir_stretched")), "nir_stretched")
+
+
+_B = ("blue", "green", "red", "nir")
+
+
+@query(sql("bands", " UNION ALL ".join(f"SELECT '{a}' AS band_a, '{b}' AS band_b, (round(covar_samp({a}, {b}), 4) + 0.0) AS cov FROM bands" for a in _B for b in _B)))
+def band_covariance(s, d):
+    return spectral.covariance(views.bands(s, d), list(_B)).withColumn("cov", F.round("cov", 4))
+
+
+@query(sql("bands", """, m AS (SELECT avg(blue) AS mb, avg(red) AS mr, var_samp(blue) + 1e-6 AS vb, var_samp(red) + 1e-6 AS vr, covar_samp(blue, red) AS c FROM bands),
+    x AS (SELECT l_returnflag, sqrt(greatest(0, (vr * pow(blue - mb, 2) - 2 * c * (blue - mb) * (red - mr) + vb * pow(red - mr, 2)) / (vb * vr - c * c))) AS rxd FROM bands, m)
+    SELECT l_returnflag, (round(avg(rxd), 6) + 0.0) AS mean_rxd, count(*) FILTER (WHERE round(rxd, 9) > round(q, 9)) AS n_anomalies FROM x, (SELECT quantile_cont(rxd, 0.95) AS q FROM x) GROUP BY l_returnflag""").replace(")\n, m AS", "),\nm AS"))
+def rxd(s, d):
+    rows = spectral.rx_distance(views.bands(s, d), ["blue", "red"])
+    cut = rows.agg(F.round(F.percentile("rxd", 0.95), 9).alias("q"))
+    marked = rows.crossJoin(F.broadcast(cut)).withColumn("over", F.round("rxd", 9) > F.col("q"))  # one row
+    return rounded(marked.groupBy("l_returnflag").agg(F.avg("rxd").alias("mean_rxd"), F.count_if("over").alias("n_anomalies")), "mean_rxd")
+
+
+@query(sql("track", f"SELECT line_id, seq, {r6('var_pop(field) OVER w')} AS texture FROM track WINDOW w AS ({LINE} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
+def texture(s, d):
+    return rounded(spectral.texture(views.track(s, d), "field"), "texture").select("line_id", "seq", "texture")
+
+
+# radar
+
+
+def _flat(traces, digits=6):
+    return traces.select("segment", "trace_no", F.posexplode("samples").alias("k", "value")).select("segment", "trace_no", F.col("k").cast("long").alias("k"), F.round("value", digits).alias("value"))
+
+
+@query(sql("cells", f"SELECT segment, trace_no, k, {r6('value - avg(value) OVER (PARTITION BY segment, k)')} AS value FROM cells"))
+def trace_background(s, d):
+    return _flat(radar.remove_background(views.traces(s, d)))
+
+
+@query(sql("cells", f"SELECT c.segment, trace_no, c.k, {r6('value - m')} AS value FROM cells c JOIN (SELECT segment, k, median(value) AS m FROM cells GROUP BY segment, k) b ON c.segment = b.segment AND c.k = b.k"))
+def trace_median_background(s, d):
+    return _flat(radar.remove_background(views.traces(s, d), median=True))
+
+
+@query(sql("cells", f"SELECT c.segment, c.trace_no, k, {r6('value - m')} AS value FROM cells c JOIN (SELECT segment, trace_no, avg(value) AS m FROM cells WHERE k BETWEEN 10 AND 29 GROUP BY ALL) b ON c.segment = b.segment AND c.trace_no = b.trace_no"))
+def dc_shift(s, d):
+    return _flat(radar.dc_shift(views.traces(s, d), 10, 29))
+
+
+@query(sql("cells", f"SELECT segment, trace_no, k, {r6('value * CASE WHEN k * 1.0 <= 3 THEN 9.0 WHEN k * 1.0 <= 37 THEN pow(k * 1.0 - 3, 2) ELSE 1.0 END')} AS value FROM cells"))
+def power_gain(s, d):
+    return _flat(radar.apply_gain(views.traces(s, d), radar.gains(64, 1.0, "power", 2.0, 37.0, 3.0)))
+
+
+@query(sql("traces", """SELECT segment, trace_no, CAST(j - 1 AS BIGINT) AS k, (round(CASE WHEN j - s BETWEEN 1 AND 64 THEN samples[j - s] ELSE 0.0 END, 6) + 0.0) AS value FROM
+    (SELECT *, unnest(range(1, CAST(64 + most + 1 AS BIGINT))) AS j FROM (SELECT *, trace_no % 5 + 1 AS s, max(trace_no % 5 + 1) OVER (PARTITION BY segment) AS most FROM traces))"""))
+def topo_shift(s, d):
+    return _flat(radar.topography(views.traces(s, d).withColumn("twt", (F.col("trace_no") % 5) * 1.0), "twt", 1.0))
+
+
+@query(sql("cells", f"""SELECT segment, trace_no, f, {r6("p / max(p) OVER (PARTITION BY segment, trace_no)")} AS power FROM (SELECT segment, trace_no, CAST(f AS BIGINT) AS f, pow(sum(value * cos(-2 * pi() * f * k / 64)), 2) + pow(sum(value * sin(-2 * pi() * f * k / 64)), 2) AS p
+    FROM cells, (SELECT unnest(range(0, 33)) AS f) GROUP BY segment, trace_no, f)"""))
+def power_spectrum(s, d):
+    return rounded(radar.power_spectrum(views.traces(s, d), 1.0), "power").select("segment", "trace_no", F.col("f").cast("long").alias("f"), "power")
+
+
+@query(sql("cells", f"SELECT segment, {r6('min(value)')} AS min, {r6('max(value)')} AS max, {r6('avg(value)')} AS mean, {r6('stddev_pop(value)')} AS std, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) FILTER (WHERE value = 0) AS n_zero FROM cells GROUP BY segment"))
+def trace_quality(s, d):
+    return rounded(radar.trace_quality(views.traces(s, d)), "min", "max", "mean", "std")
+
+
+@query(sql("cells", f"""SELECT a.segment, a.trace_no, a.k, {r6("median(coalesce(b.value, 0.0))")} AS value FROM cells a JOIN (SELECT unnest([-1, 0, 1]) AS p) ON true JOIN (SELECT unnest([-1, 0, 1]) AS q) ON true
+    LEFT JOIN cells b ON b.segment = a.segment AND b.trace_no = a.trace_no + p AND b.k = a.k + q GROUP BY a.segment, a.trace_no, a.k"""))
+def median3x3(s, d):
+    return _flat(radar.median3x3(views.traces(s, d)))
+
+
+@query(sql("cells", """SELECT segment, trace_no, min(k) AS t0 FROM (SELECT *, max(abs(value)) OVER (PARTITION BY segment, trace_no) AS m FROM cells) WHERE abs(value) > 0.5 * m GROUP BY segment, trace_no"""))
+def first_break(s, d):
+    return radar.first_break(views.traces(s, d), 0.5).select("segment", "trace_no", F.col("t0").cast("long").alias("t0"))
+
+
+@query(sql("cells", f"SELECT segment, trace_no, k, {r6('value')} AS value FROM cells WHERE k < 40 AND trace_no BETWEEN 2 AND 9"))
+def profile_cut(s, d):
+    return _flat(radar.cut_samples(views.traces(s, d), 0.5, 20.0, 2, 10))
+
+
+@query()
+def band_pass(s, d):
+    return _flat(radar.band_pass(views.traces(s, d), 1.0, 0.05, 0.2))
+
+
+@query()
+def dewow(s, d):
+    return _flat(radar.dewow(views.traces(s, d)))
+
+
+@query()
+def deconvolution(s, d):
+    return _flat(radar.deconvolve(views.traces(s, d), 1.0))
+
+
+@query()
+def migration(s, d):
+    return _flat(radar.migrate(views.traces(s, d), 0.05, 1.0, 0.1))
+
+
+@query()
+def local_background(s, d):
+    return _flat(radar.remove_local_background(views.traces(s, d)))
+
+
+@query()
+def upsampled(s, d):
+    return _flat(radar.upsample(views.traces(s, d), 2))
+
+
+@query()
+def fir_band_pass(s, d):
+    return _flat(radar.fir_band_pass(views.traces(s, d), 1.0, (0.02, 0.05, 0.2, 0.3)))
+
+
+@query()
+def reflections(s, d):
+    picked = radar.pick_reflection(views.traces(s, d), 32)
+    return picked.select("segment", "trace_no", F.col("pick_from").cast("long").alias("pick_from"), F.col("pick_to").cast("long").alias("pick_to"))
+
+
+# grids
+
+
+@query(sql("track", f"""SELECT line_id, iy, ix, {r6("min_x - 0.01 * rx + ix * rx * 1.02 / 9")} AS x, {r6("min_y - 0.01 * ry + iy * ry * 1.02 / 9")} AS y FROM
+    (SELECT line_id, min(easting) AS min_x, max(easting) - min(easting) AS rx, min(northing) AS min_y, max(northing) - min(northing) AS ry FROM track GROUP BY line_id), (SELECT unnest(range(0, 10)) AS iy), (SELECT unnest(range(0, 10)) AS ix)""").replace("SELECT line_id, iy, ix,", "SELECT line_id, CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix,"))
+def grid_mesh(s, d):
+    out = grid.mesh(tables.bounds(views.track(s, d), "easting", "northing", ["line_id"]), 10, 10)
+    return rounded(out, "x", "y").withColumns({"iy": F.col("iy").cast("long"), "ix": F.col("ix").cast("long")})
+
+
+_NODES = "nodes AS (SELECT CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, ix / 39.0::DOUBLE AS x, iy / 39.0::DOUBLE AS y FROM (SELECT unnest(range(0, 40)) AS iy), (SELECT unnest(range(0, 40)) AS ix))"
+_POINTS = sql("points", "SELECT 1").replace("SELECT 1", "").rstrip()
+
+
+@query(_POINTS + f", {_NODES}" + f""" SELECT iy, ix, {r6("sum(w)")} AS weight, {r6("sum(w * z) / sum(w)")} AS target FROM (SELECT iy, ix, z, exp(-pow(sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) / 0.018, 2)) AS w
+    FROM points p JOIN nodes n ON sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) <= 0.06) GROUP BY iy, ix""")
+def influence_grid(s, d):
+    out = grid.influence(views.points(s, d), 0.0, 0.0, 1 / 39, 1 / 39, 40, 40, 0.06)
+    return rounded(out, "weight", "target").withColumns({"iy": F.col("iy").cast("long"), "ix": F.col("ix").cast("long")})
+
+
+@query(_POINTS + f", {_NODES}" + f""" SELECT iy, ix, {r6("min(d)")} AS d, {r6("min_by(z, (d, z))")} AS value FROM (SELECT iy, ix, z, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM points p, nodes n) GROUP BY iy, ix""")
+def nearest_grid(s, d):
+    nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
+    return rounded(grid.nearest_points(nodes, views.points(s, d), 0.03).withColumnRenamed("z", "value"), "d", "value").select("iy", "ix", "d", "value")
+
+
+@query(_POINTS + f", {_NODES}" + """ SELECT count(*) AS n FROM nodes, (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS e FROM points) WHERE x BETWEEN a AND b AND y BETWEEN c AND e AND iy BETWEEN 5 AND 30 AND ix BETWEEN 5 AND 30""")
+def hull_mask(s, d):
+    """Inner nodes all lie within the hull of the points."""
+    nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
+    return nodes.filter("iy BETWEEN 5 AND 30 AND ix BETWEEN 5 AND 30").filter(grid.inside_hull(grid.hull_points(views.points(s, d)))).agg(F.count("*").alias("n"))
+
+
+_CELLS = "segment AS grid_id, trace_no AS iy, k AS ix"
+_DX = """CASE WHEN lag(value) OVER r IS NULL THEN lead(value) OVER r - value WHEN lead(value) OVER r IS NULL THEN value - lag(value) OVER r ELSE (lead(value) OVER r - lag(value) OVER r) / 2 END AS d_dx,
+    CASE WHEN lag(value) OVER c IS NULL THEN lead(value) OVER c - value WHEN lead(value) OVER c IS NULL THEN value - lag(value) OVER c ELSE (lead(value) OVER c - lag(value) OVER c) / 2 END AS d_dy"""
+_DERIVED = f"derived AS (SELECT *, sqrt(d_dx * d_dx + d_dy * d_dy) AS hg FROM (SELECT {_CELLS}, value, {_DX} FROM cells WINDOW r AS (PARTITION BY segment, trace_no ORDER BY k), c AS (PARTITION BY segment, k ORDER BY trace_no)))"
+_CELL = sql("cells", "SELECT 1").replace("SELECT 1", "").rstrip()
+
+
+def _longs(df):
+    return df.withColumns({"iy": F.col("iy").cast("long"), "ix": F.col("ix").cast("long")})
+
+
+@query(_CELL + f", {_DERIVED} SELECT grid_id, iy, ix, {r6('d_dx')} AS d_dx, {r6('d_dy')} AS d_dy FROM derived")
+def grid_derivatives(s, d):
+    return _longs(rounded(grid.horizontal_derivatives(views.grid(s, d)), "d_dx", "d_dy")).select("grid_id", "iy", "ix", "d_dx", "d_dy")
+
+
+@query(_CELL + f", {_DERIVED} SELECT grid_id, {r6('avg(hg)')} AS mean_gradient, {r6('max(hg)')} AS max_gradient FROM derived GROUP BY grid_id")
+def horizontal_gradient(s, d):
+    out = grid.horizontal_derivatives(views.grid(s, d)).groupBy("grid_id").agg(F.avg("horizontal_gradient").alias("mean_gradient"), F.max("horizontal_gradient").alias("max_gradient"))
+    return rounded(out, "mean_gradient", "max_gradient")
+
+
+@query(_CELL + f""", {_DERIVED}, tops AS (SELECT *, max(m) OVER (PARTITION BY grid_id, ix ORDER BY iy ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mm, avg(hg) OVER (PARTITION BY grid_id) AS mean FROM
+    (SELECT *, max(hg) OVER (PARTITION BY grid_id, iy ORDER BY ix ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM derived)) SELECT grid_id, iy, ix FROM tops WHERE hg = mm AND hg > mean""")
+def blakely_peaks(s, d):
+    return _longs(grid.gradient_peaks(grid.horizontal_derivatives(views.grid(s, d)))).select("grid_id", "iy", "ix")
+
+
+@query(sql("cells", f"SELECT segment AS grid_id, {r6('min(value)')} AS min, {r6('max(value)')} AS max, {r6('avg(value)')} AS mean, {r6('stddev_pop(value)')} AS std, {r6('median(value)')} AS median, 1.0::DOUBLE AS coverage FROM cells GROUP BY segment"))
+def grid_statistics(s, d):
+    return rounded(grid.grid_statistics(views.grid(s, d)), "min", "max", "mean", "std", "median")
+
+
+@query(sql("cells", f"SELECT segment AS grid_id, trace_no AS iy, k AS ix, {r6('(value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w)')} AS level, max(trace_no) OVER w - trace_no AS row_from_north FROM cells WINDOW w AS (PARTITION BY segment)"))
+def raster_levels(s, d):
+    out = _longs(rounded(grid.normalised(views.grid(s, d)), "level"))
+    return out.select("grid_id", "iy", "ix", "level", F.col("row_from_north").cast("long").alias("row_from_north"))
+
+
+@query(_POINTS + f", p2 AS (SELECT floor(x * 20) AS lon, floor(y * 20) AS lat, z FROM points) SELECT CAST(lat AS BIGINT) AS lat, CAST(lon AS BIGINT) AS lon, {r6('avg(z)')} AS value, dense_rank() OVER (ORDER BY lat) - 1 AS iy, dense_rank() OVER (ORDER BY lon) - 1 AS ix FROM p2 GROUP BY lat, lon")
+def grid_pivot(s, d):
+    cells = views.points(s, d).select(F.floor(F.col("x") * 20).alias("lon"), F.floor(F.col("y") * 20).alias("lat"), F.col("z").alias("value"))
+    return _longs(rounded(grid.grid_pivot(cells), "value")).select("lat", "lon", "value", "iy", "ix")
+
+
+@query(f"SELECT {r6('sqrt(avg(pow(o - p, 2)))')} AS rmse, {r6('avg(abs(o - p))')} AS mae, {r6('pow(corr(o, p), 2)')} AS r2, {r6('avg(o - p)')} AS mean_residual, {r6('stddev_pop(o - p)')} AS std_residual, count(o - p) AS n FROM (SELECT l_quantity AS o, l_extendedprice / 1000 AS p FROM lineitem)")
+def residual_metrics(s, d):
+    rows = views.table(s, d, "lineitem").select(F.col("l_quantity").alias("o"), (F.col("l_extendedprice") / 1000).alias("p"))
+    out = grid.residual_metrics(rows, "o", "p")
+    return rounded(out, "rmse", "mae", "r2", "mean_residual", "std_residual")
+
+
+@query()
+def contours(s, d):
+    return _longs(grid.contour_cells(views.grid(s, d))).select("grid_id", "iy", "ix", F.col("level_no").cast("long").alias("level_no"))
+
+
+@query()
+def analytic_signal(s, d):
+    derived = grid.per_grid(views.grid(s, d), lambda z: grid.derivatives(z, 1.0, 1.0), ["d_dx", "d_dy", "d_dz"])
+    return _longs(rounded(grid.signals(derived), "analytic_signal", "tilt")).select("grid_id", "iy", "ix", "analytic_signal", "tilt")
+
+
+@query()
+def gaussian_smooth(s, d):
+    return _longs(rounded(grid.per_grid(views.grid(s, d), lambda z: {"value": grid.gaussian(z, 1.0)}, ["value"]), "value"))
+
+
+@query()
+def euler(s, d):
+    return rounded(grid.euler_solutions(views.grid(s, d), 1.0, 1.0), "x", "y", "depth")
+
+
+
+
+@query()
+def mincurve_soft(s, d):
+    return _longs(rounded(grid.minimum_curvature(views.points(s, d), 30, 30, True, 200), "x", "y", "value"))
+
+
+@query()
+def mincurve_hard(s, d):
+    return _longs(rounded(grid.minimum_curvature(views.points(s, d), 30, 30, False, 200), "x", "y", "value"))
+
+
+# layers
+
+
+@query(sql("layers", """SELECT position, CASE WHEN processor = 'magnetic' THEN 'Magnetic Processing' WHEN processor = 'gamma' THEN 'Gamma Processing' WHEN last_step LIKE '%gpr%' THEN 'GPR Processing'
+    WHEN source = 'data_viewer' THEN 'Survey Data' WHEN source = 'annotation' THEN 'Annotations' WHEN source = 'processing' THEN 'Data Processing' ELSE 'Other' END AS group_name FROM layers"""))
+def layer_groups(s, d):
+    rows = views.layers(s, d)
+    return rows.select("position", styling.layer_group(F.col("processor"), F.col("last_step"), F.col("source")).alias("group_name"))
+
+
+@query(sql("layers", """SELECT position, CASE WHEN data_type LIKE '%anomaly%' THEN 'Anomalies' WHEN data_type LIKE '%segment%' THEN 'Segments' WHEN script LIKE '%magbase%' THEN 'Magbase Data' WHEN script LIKE '%grid_interpolator%' THEN 'Interpolated Grid'
+    WHEN name LIKE 'grid%' THEN 'Interpolated Grid' WHEN name LIKE '%contour%' THEN 'Contours' WHEN name LIKE 'flight%' THEN 'Flight Data' WHEN name LIKE 'survey%' THEN 'Survey ' || position WHEN name LIKE 'walk%' THEN 'Walk ' || position ELSE 'Raw ' || position END AS label FROM layers"""))
+def layer_names(s, d):
+    rows = views.layers(s, d)
+    return rows.select("position", styling.layer_name(F.col("name"), F.col("data_type"), F.col("script")).alias("label"))
+
+
+@query(sql("layers", "SELECT position, CAST(row_number() OVER (ORDER BY z_index, position) AS BIGINT) AS place FROM layers WHERE is_visible AND position < 1000"))
+def visible_order(s, d):
+    shown = layers.visible(views.layers(s, d).filter("position < 1000"))
+    return shown.select("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("z_index", "position")).cast("long").alias("place"))
+
+
+@query(sql("layers", "SELECT source AS group_name, processor AS script, run_id, count(*) AS n_layers FROM layers GROUP BY ROLLUP (source, processor, run_id)"))
+def layer_hierarchy(s, d):
+    rows = views.layers(s, d).select(F.col("source").alias("group_name"), F.col("processor").alias("script"), "run_id")
+    return layers.hierarchy(rows).select("group_name", "script", "run_id", "n_layers")
+
+
+@query("SELECT event_id, '[' || strftime(ts, '%H:%M:%S') || '] ' || CASE WHEN event_type = 'click' THEN 'Started: s' || user_id WHEN event_type = 'view' THEN 'Finished: s' || user_id ELSE event_type END AS line FROM events")
+def history_summary(s, d):
+    rows = views.table(s, d, "events")
+    kind = F.when(F.col("event_type") == "click", "processing.started").when(F.col("event_type") == "view", "processing.completed").otherwise(F.col("event_type"))
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
+    data = F.to_json(F.struct(F.concat(F.lit("s"), "user_id").alias("script_id"), F.lit("success").alias("status")))
+    return rows.select("event_id", styling.event_summary(stamp, kind, data).alias("line"))
+
+
+@query("SELECT event_type AS processor, script, used_at FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY used_at DESC, script) AS n FROM (SELECT event_type, user_id % 20 AS script, max(epoch_us(ts) // 1000) AS used_at FROM events GROUP BY ALL)) WHERE n = 1")
+def latest_script(s, d):
+    runs = views.events(s, d).select(F.col("event_type").alias("processor"), (F.col("user_id") % 20).alias("script"), F.col("t_ms").alias("used_at"))
+    return layers.latest_script(runs)
+
+
+@query("SELECT event_type AS processor, script, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY used_at DESC, script) AS rank FROM (SELECT event_type, user_id % 20 AS script, max(epoch_us(ts) // 1000) AS used_at FROM events GROUP BY ALL)) WHERE rank <= 5")
+def recent_scripts(s, d):
+    runs = views.events(s, d).select(F.col("event_type").alias("processor"), (F.col("user_id") % 20).alias("script"), F.col("t_ms").alias("used_at"))
+    return layers.recent_scripts(runs).select("processor", "script", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT user_id AS line_id, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n_rows, (round(avg(value), 6) + 0.0) AS mean_field FROM events GROUP BY ALL".replace("user_id AS line_id, ", ""))
+def hourly_rates(s, d):
+    from stratafield.streaming import flightline
+
+    rows = views.table(s, d, "events").select("ts", F.col("value").alias("field"))
+    return rounded(flightline.rates(rows, "1 hour"), "mean_field")
