@@ -8,6 +8,7 @@
    answers every block in the block's order.  A word in all documents is thus
    one entry per block, never one per occurrence.
 3. *Reassembly.*  A block meets the answers and puts the ids back by position.
+   The blocks are a table bucketed by block, so only the answers move.
 4. *Decoding* joins ids with the table of token bytes.
 
 Edge cases: null or empty text has no ids and decodes to nothing; null or
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import materialize, partitions
-from .text_batches import gather, repeat_ranges, slices, texts
+from .storage import materialize_bucketed, partitions
+from .text_batches import gather, give_back, repeat_ranges, slices, texts
 
 BLOCK_BYTES = 12 << 20
 #: Ids handled at once while decoding.
@@ -39,7 +41,7 @@ DECODE_IDS = 400_000
 
 def squeeze(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -73,17 +75,25 @@ def pre_tokens(column: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray,
     def numbers(text: str) -> list[int]:
         return [number.setdefault(w, len(number)) for w in find(text)]
 
+    words_of, lengths = array("i"), array("i")
+
     odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "\0")).to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", column), " ", "\0 "), "\0")
     coded = parts.flatten().dictionary_encode()
-    lists = [numbers(c) for c in coded.dictionary.to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-    flat, per_chunk = gather(np.fromiter((i for x in lists for i in x), np.int64, int(offsets[-1])), offsets, coded.indices.to_numpy())
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    del parts
+    for begin in range(0, len(coded.dictionary), 20_000):
+        for chunk in coded.dictionary.slice(begin, 20_000).to_pylist():
+            found = numbers(chunk)
+            words_of.extend(found)
+            lengths.append(len(found))
+    offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+    flat, per_chunk = gather(np.array(words_of, np.int32), offsets, coded.indices.to_numpy())
+    del coded
     at = np.concatenate([[0], np.cumsum(per_chunk)])[bounds]
     counts = np.diff(at)
     if odd.any():
-        whole = {i: np.array(numbers(column[i].as_py()), np.int64) for i in np.flatnonzero(odd).tolist()}
+        whole = {i: np.array(numbers(column[i].as_py()), np.int32) for i in np.flatnonzero(odd).tolist()}
         flat = np.concatenate([whole.get(i, flat[at[i] : at[i + 1]]) for i in range(len(counts))])
         for i, ids in whole.items():
             counts[i] = len(ids)
@@ -99,8 +109,8 @@ def build_blocks(docs: DataFrame, pattern: str) -> DataFrame:
             for some in slices(whole, most=BLOCK_BYTES):
                 flat, counts, words = pre_tokens(texts(some), pattern)
                 order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words), dtype=np.uint32)
                 ranked = pa.array(words, pa.string()).take(pa.array(order))
                 yield pa.RecordBatch.from_pydict({"block": [block], "doc_ids": pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())), "counts": [squeeze(counts)], "positions": [squeeze(rank[flat])], "words": [squeeze_words(ranked)]})
                 block += 1
@@ -148,6 +158,7 @@ def encode_words(sent: DataFrame, path: str, pattern: str) -> DataFrame:
     answered in the order in which the block sent them."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         lists = [unsqueeze_words(x.as_buffer()) for x in table.column("words")]
         coded = pa.concat_arrays(lists).dictionary_encode()
         encode = load_encoding(path, pattern).encode_ordinary
@@ -169,6 +180,7 @@ def reassemble(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
 
     def run(mine: pa.Table, answered: pa.Table) -> pa.Table:
+        give_back()
         parts = [(np.cumsum(unsqueeze(p.as_buffer())), unsqueeze(n.as_buffer()).astype(np.int64), unsqueeze(i.as_buffer())) for p, n, i in zip(*(answered.column(c) for c in ("places", "lengths", "ids")), strict=True)]
         lengths = np.zeros(sum(len(p[0]) for p in parts), np.int64)
         for places, n, _ in parts:
@@ -187,8 +199,9 @@ def reassemble(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    blocks = materialize(build_blocks(docs, pattern), "blocks")
-    return reassemble(blocks, encode_words(send_words(blocks, buckets or 4 * partitions(docs.sparkSession)), path, pattern))
+    n = partitions(docs.sparkSession)
+    blocks = materialize_bucketed(build_blocks(docs, pattern), "blocks", "block", n)
+    return reassemble(blocks, encode_words(send_words(blocks, buckets or 4 * n), path, pattern))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,19 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 12 << 20
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Hand freed memory to the system, so that a worker's size follows the slice
+    it works on and not the largest mix of slices so far."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``most`` text bytes (a longer
@@ -22,6 +36,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         stop = max(begin + 1, int(np.searchsorted(end, base + most, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
+        give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -35,10 +50,14 @@ def repeat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    small = max(total, int(starts.max()) + int(lengths.max())) < 1 << 31
+    kind = np.int32 if small else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenation of lists ``picks`` out of (flat, offsets), with their lengths."""
-    lengths = (offsets[1:] - offsets[:-1])[picks]
+    lengths = np.diff(offsets)[picks]
     return flat[repeat_ranges(offsets[picks], lengths)], lengths
