@@ -35,6 +35,8 @@ from .storage import materialize_bucketed, partitions
 from .text_batches import gather, give_back, repeat_ranges, slices, texts
 
 BLOCK_BYTES = 12 << 20
+#: A space between white space, or between white space and the end.
+INNER_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}] ([\t-\r\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Ids handled at once while decoding.
 DECODE_IDS = 400_000
 
@@ -65,10 +67,10 @@ def unsqueeze_words(data: bytes) -> pa.Array:
 def pre_tokens(column: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word numbers of all texts by position, their count per text, the words.
 
-    A single space between other characters always begins a pre-token, so such
-    texts are cut there first and the pattern runs once per distinct chunk.
-    Texts with two spaces in a row (or a NUL, used as the cut mark) go through
-    the pattern whole.
+    A space that has no white space before it or none after it always begins a
+    pre-token, so texts are cut there first and the pattern runs once per
+    distinct chunk.  Texts with another kind of space (or a NUL, used as the cut
+    mark) go through the pattern whole.
     """
     find, number = regex.compile(pattern).findall, {}
 
@@ -77,7 +79,7 @@ def pre_tokens(column: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray,
 
     words_of, lengths = array("i"), array("i")
 
-    odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "\0")).to_numpy(zero_copy_only=False)
+    odd = pc.or_(pc.match_substring_regex(column, INNER_SPACE), pc.match_substring(column, "\0")).to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", column), " ", "\0 "), "\0")
     coded = parts.flatten().dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
