@@ -45,11 +45,11 @@ from pyspark.sql import DataFrame, functions as F
 from .byte_bpe import squeeze, unsqueeze
 from .components import components
 from .storage import materialize, materialize_bucketed, partitions
-from .text_batches import slices, texts
+from .text_batches import give_back, slices, texts
 
 WORDS = 5
 PERCENT = 75
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 NO_ID = 1 << 62  # nodes without any doc_id are named from here on
@@ -70,7 +70,7 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.diff(np.concatenate([[0], np.cumsum(real)])[bounds])
     coded = flat.filter(pa.array(real)).dictionary_encode()
     hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) if len(coded) else np.zeros(0, np.uint64)
-    return coded.indices.to_numpy().astype(np.int64), counts, hashes.astype(np.uint64)
+    return coded.indices.to_numpy(), counts, hashes.astype(np.uint64)
 
 
 def sets_of(positions: np.ndarray, counts: np.ndarray, hashes: np.ndarray, words: int = WORDS):
@@ -101,8 +101,8 @@ def build_blocks(docs: DataFrame) -> DataFrame:
             for some in slices(whole, most=BLOCK_BYTES):
                 positions, counts, hashes = split_words(texts(some))
                 order = np.argsort(-np.bincount(positions, minlength=len(hashes)), kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
                 sets = list(sets_of(positions, counts, hashes))
                 yield pa.RecordBatch.from_pydict({
                     "block": [block],
@@ -118,7 +118,7 @@ def build_blocks(docs: DataFrame) -> DataFrame:
 
 def _sets(table: pa.Table):
     row = lambda name: table.column(name)[0].as_buffer()
-    return list(sets_of(unsqueeze(row("positions")).astype(np.int64), unsqueeze(row("counts")).astype(np.int64), np.frombuffer(row("hashes"), np.uint64)))
+    return list(sets_of(unsqueeze(row("positions")), unsqueeze(row("counts")).astype(np.int64), np.frombuffer(row("hashes"), np.uint64)))
 
 
 def _short(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -133,6 +133,7 @@ def send_ngrams(blocks: DataFrame, nodes: DataFrame, bits: int, ranges: int) ->
     """block, range, keys, counts: each block's n-grams over its nodes."""
 
     def run(mine: pa.Table, named: pa.Table) -> pa.Table:
+        give_back()
         rows = {"block": [], "range": [], "keys": [], "counts": []}
         if mine.num_rows and named.num_rows:
             sets = _sets(mine)
@@ -174,6 +175,7 @@ def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int)
     told = told.union(nodes.select("block", F.lit(-1).cast("long"), F.lit(None).cast("binary"), "places", "names"))
 
     def run(mine: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         out = {"node": [], "n": [], "grams": [], "at": [], "set": []}
         parts, places, names = {}, [], []
         for r, data, p, q in zip(*(right.column(c) for c in ("range", "classes", "places", "names")), strict=True):
@@ -202,10 +204,11 @@ def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int)
 
 
 def _may_link(x: str, y: str) -> str:
-    """Length and positional filters for an n-gram at place {x}.at and {y}.at."""
+    """Length and positional filters for an n-gram at place {x}.at and {y}.at.
+    Nothing before the first common n-gram is shared, so from its places on
+    both sets must still hold the overlap that a link needs."""
     need = f"(({PERCENT} * ({x}.n + {y}.n) + {99 + PERCENT}) div {100 + PERCENT})"
-    reach = f"least({x}.at, {y}.at) + 1 + least({x}.n - {x}.at - 1, {y}.n - {y}.at - 1)"
-    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND {reach} >= {need}"
+    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND least({x}.n - {x}.at, {y}.n - {y}.at) >= {need}"
 
 
 def intersection(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) -> int:
@@ -296,7 +299,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc_id stays; rows without a doc_id and rows without words all stay."""
     judged = materialize(near_duplicates(docs.select("doc_id", "text")), "components")
     gone = judged.filter("doc_id IS NOT NULL AND component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # both sides grow with the input
     again = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
