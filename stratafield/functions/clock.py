@@ -16,7 +16,7 @@ def epoch_ms(ts: str) -> Column:
 def seconds_of_day(text: Column) -> Column:
     """``hh:mm:ss.sss`` as seconds; null where a part is no number."""
     parts = F.split(F.trim(text), ":")
-    part = lambda i: F.element_at(parts, i).try_cast("double")
+    part = lambda i: F.get(parts, F.lit(i - 1)).try_cast("double")
     return F.when(F.size(parts) == 3, part(1) * 3600 + part(2) * 60 + part(3))
 
 
@@ -30,9 +30,9 @@ def compat_code(text: Column, hours: int = 2) -> Column:
     """Hour moved by ``hours``, minute and the unpadded seconds run together
     without the point, as a number: the encoding of older base-station files."""
     parts = F.split(F.trim(text), ":")
-    hour = F.pmod(F.element_at(parts, 1).try_cast("int") + hours, F.lit(24))
-    second = F.regexp_replace(F.element_at(parts, 3).try_cast("double").cast("string"), "\\.", "")
-    return F.concat(F.format_string("%02d", hour), F.element_at(parts, 2), second).try_cast("double")
+    hour = F.pmod(F.get(parts, F.lit(0)).try_cast("int") + hours, F.lit(24))
+    second = F.regexp_replace(F.get(parts, F.lit(2)).try_cast("double").cast("string"), "\\.", "")
+    return F.concat(F.format_string("%02d", hour), F.get(parts, F.lit(1)), second).try_cast("double")
 
 
 def clock_text(seconds: Column) -> Column:

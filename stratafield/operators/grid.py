@@ -339,15 +339,17 @@ def nearest_grid(x, y, z, gx, gy, rows: int = 512) -> np.ndarray:
     return z[np.concatenate(picks)].reshape(gx.shape)
 
 
-def euler(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, dz: dict[str, np.ndarray], index: float = 3.0, window: int = 10) -> np.ndarray:
-    """Rows (x, y, depth) of windows whose least-squares depth lies in 0 to 100."""
-    out = []
+def euler(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, dz: dict[str, np.ndarray], index: float = 3.0, window: int = 10, mode: str = "compat") -> np.ndarray:
+    """Rows (x, y, depth) of windows whose least-squares depth lies in 0 to 100.
+    ``compat`` takes the field's term on the right-hand side with a minus sign;
+    ``corrected`` with the plus sign of Euler's equation."""
+    out, sign = [], 1 if mode == "corrected" else -1
     for i in range(0, z.shape[0] - window, 2):
         for j in range(0, z.shape[1] - window, 2):
             cut = np.s_[i : i + window, j : j + window]
             m, mx, my, mz = (a[cut].ravel() for a in (z, dz["d_dx"], dz["d_dy"], dz["d_dz"]))
-            left = np.column_stack([mx, my, mz, np.full(len(m), -index)])
-            right = gx[cut].ravel() * mx + gy[cut].ravel() * my - index * m
+            left = np.column_stack([mx, my, mz, np.full(len(m), sign * index)])
+            right = gx[cut].ravel() * mx + gy[cut].ravel() * my + sign * index * m
             if np.isfinite(left).all() and np.isfinite(right).all():
                 found = np.linalg.lstsq(left, right, rcond=None)[0]
                 if np.isfinite(found).all() and 0 < found[2] < 100:
@@ -355,14 +357,14 @@ def euler(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, dz: dict[str, np.ndarra
     return np.array(out).reshape(-1, 3)
 
 
-def euler_solutions(grid: DataFrame, dx: float, dy: float, index: float = 3.0, window: int = 10) -> DataFrame:
+def euler_solutions(grid: DataFrame, dx: float, dy: float, index: float = 3.0, window: int = 10, mode: str = "compat") -> DataFrame:
     """Euler deconvolution of each grid in node units scaled by dx, dy."""
 
     def run(cells: pd.DataFrame) -> pd.DataFrame:
         dense = np.full((cells["iy"].max() + 1, cells["ix"].max() + 1), np.nan)
         dense[cells["iy"], cells["ix"]] = cells["value"].astype(float)
         iy, ix = np.indices(dense.shape)
-        found = euler(dense, ix * dx, iy * dy, derivatives(dense, dx, dy), index, window)
+        found = euler(dense, ix * dx, iy * dy, derivatives(dense, dx, dy), index, window, mode)
         return pd.DataFrame(found, columns=["x", "y", "depth"]).assign(grid_id=cells["grid_id"].iloc[0])[["grid_id", "x", "y", "depth"]]
 
     kind = grid.schema["grid_id"].dataType.simpleString()

@@ -61,6 +61,14 @@ def drop_blank_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if seen[i]])
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of a file.  Spark's text source reads UTF-8 only; for other
+    encodings the CSV source is used with a separator that no text holds."""
+    if encoding == "UTF-8":
+        return spark.read.text(path)
+    return spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
+
+
 def load(spark: SparkSession, path: str, row_id: bool = True) -> tuple[DataFrame, dict[str, str]]:
     """Table (with ``_row_id`` in file order) and metadata of one file; falls
     back to Latin-1 where the head is not UTF-8."""
@@ -69,7 +77,7 @@ def load(spark: SparkSession, path: str, row_id: bool = True) -> tuple[DataFrame
     start, metadata = find_header(lines)
     sep = find_delimiter(lines[start:])
     has_names = not all(is_number(c) or not c for c in lines[start].split(sep)) if lines else False
-    raw = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("_row_id"))
+    raw = _lines(spark, path, encoding).select("value", F.monotonically_increasing_id().alias("_row_id"))
     names = [c.strip() or f"_c{i}" for i, c in enumerate(lines[start].split(sep))] if has_names else [f"c{i}" for i in range(len(lines[start].split(sep)) if lines else 0)]
     if not names:
         return spark.createDataFrame([], "_row_id long"), metadata
