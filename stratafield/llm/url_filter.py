@@ -28,6 +28,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .storage import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 1000
 
@@ -108,7 +110,7 @@ def reputations(counts: DataFrame) -> DataFrame:
 def judge_pages(pages: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate of pages (page_id, url, outcome)."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "outcome")
-    counts = host_counts(named)
+    counts = materialize(host_counts(named), "hosts")  # outcomes are read off the pages once
     known = reputations(counts).select(F.col("host").alias("known_host"), "rows", F.col("mean").alias("bad_rate"), (F.col("mean") - z * F.col("deviation") > limit).alias("bad_host"))
     total = counts.agg(F.sum("rows").alias("total"))
     known = known.crossJoin(F.broadcast(total)).withColumn("hot", F.col("rows") * HOT > F.col("total"))  # one row
