@@ -46,7 +46,7 @@ RULES = [url_filter.Rule(v, t) for v, t in (("block", "com/en/"), ("allow", "exa
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.judge_pages(pages.select("page_id", "url", url_filter.noise_outcome(pages["html"]).alias("outcome")), RULES)
+    return url_filter.judge_pages(pages.select("page_id", "url", url_filter.noise_outcome(pages["html"]).alias("outcome")), RULES).drop("bad_rate")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,33 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_LEVEL = """{name} AS (SELECT {keys}, prior * strength + bad AS a, (1 - prior) * strength + n - bad AS b FROM {rows}, (SELECT coalesce(
+    least(greatest(1 / greatest((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / greatest(sum((n - 1) * prior * (1 - prior)), 1e-9), 1e-3) - 1, 2.0), 1000.0), 2.0) AS strength FROM {rows} WHERE n > 0))"""
+
+
+def _url_sql() -> str:
+    rules = sorted(RULES, key=lambda r: (-len(r.text), r.text))
+    fits = [f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{{}}'" for r in rules]
+    case = lambda what: "CASE " + " ".join(f.format(what(r)) for f, r in zip(fits, rules, strict=True))
+    return f"""WITH named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+      CASE WHEN len(regexp_extract_all(body, '\\S+')) > 0 THEN CAST(len(regexp_extract_all(body, '{url_filter.NOISE}')) > 0.1 * len(regexp_extract_all(body, '\\S+')) AS INTEGER) END AS outcome FROM
+      (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, regexp_replace(html, '{url_filter.TAGS}', ' ', 'g') AS body FROM pages)),
+    counts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad FROM named GROUP BY host),
+    s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS prior FROM counts, (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p FROM counts) GROUP BY suffix), {_LEVEL.format(name="s1", rows="s0", keys="suffix")},
+    d0 AS (SELECT d.*, a / (a + b) AS prior FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY ALL) d JOIN s1 ON d.suffix = s1.suffix), {_LEVEL.format(name="d1", rows="d0", keys="domain")},
+    h0 AS (SELECT c.*, a / (a + b) AS prior FROM counts c JOIN d1 ON c.domain = d1.domain), {_LEVEL.format(name="h1", rows="h0", keys="host")}
+    SELECT page_id, n.host, path, {case(lambda r: r.text)} END AS rule, {case(lambda r: r.verdict)} WHEN a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    FROM (SELECT *, host AS h FROM named) n LEFT JOIN h1 ON n.h = h1.host""".replace("host = '", "n.host = '").replace("OR host LIKE", "OR n.host LIKE")
+
+
+NGRAMS = """WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    grams AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON d.doc_id = r.x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_join": NGRAMS.format(upper=url_filter.UPPER, lower=url_filter.LOWER), "op10_url_filter": _url_sql()}

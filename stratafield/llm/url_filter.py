@@ -32,6 +32,8 @@ from .storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 1000
+TAGS = "(?s)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>"
+NOISE = "([%*#$&]{3}|!!)(\\s|$)"
 
 
 @dataclass(frozen=True)
@@ -70,9 +72,9 @@ def rule_of(rules: list[Rule]) -> tuple[Column, Column]:
 def noise_outcome(html: Column) -> Column:
     """A page's outcome without human labels: bad (1) when over a tenth of the
     words outside tags end in a run of signs or are shouted."""
-    text = F.regexp_replace(html, "(?s)<(script|style)\\b.*?</\\1>|<[^>]*>", " ")
+    text = F.regexp_replace(html, TAGS, " ")
     words = F.regexp_count(text, F.lit("\\S+"))
-    noise = F.regexp_count(text, F.lit("[%*#$&]{3}(?=\\s|$)|!!(?=\\s|$)"))
+    noise = F.regexp_count(text, F.lit(NOISE))
     return F.when(words > 0, (noise > 0.1 * words).cast("int"))
 
 
