@@ -297,11 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the row of its smallest
     doc_id stays; rows without a doc_id and rows without words all stay."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
     judged = materialize(near_duplicates(docs.select("doc_id", "text")), "components")
     gone = judged.filter("doc_id IS NOT NULL AND component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # both sides grow with the input
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*own)  # both sides grow with the input
     again = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    single = kept.join(again, "doc_id", "left_anti").select(*own)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id"]))

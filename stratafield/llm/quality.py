@@ -185,12 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: i
     return train(np.vstack(each), np.array([len(e) for e in each]), labels_of)
 
 
-def score_documents(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` (replacing one of that name)."""
-    kept = docs.drop("quality_score")
+def score_documents(docs: DataFrame, chain: Chain | None, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the score as ``name``, which must be new."""
     if chain is None:
-        return kept.withColumn("quality_score", F.lit(1.0))
-    names = [*kept.columns, "quality_score"]
+        return docs.withColumn(name, F.lit(1.0))
+    names = [*docs.columns, name]
 
     def run(batches):
         for whole in batches:
@@ -201,7 +200,7 @@ def score_documents(docs: DataFrame, chain: Chain | None) -> DataFrame:
                 total = np.add.reduceat(marginals(chain, x, counts) * weight, first) / np.add.reduceat(weight, first)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.clip(total, 0, 1))], names)
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", quality_score double")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,5 +211,8 @@ def classify_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns."""
-    scored = score_documents(docs, fit(docs, labels))
-    return scored.filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    name = "quality_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    scored = score_documents(docs, fit(docs, labels), name)
+    return scored.filter(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

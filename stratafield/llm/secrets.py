@@ -169,6 +169,8 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced in its text; no row goes."""
-    found = scan_documents(docs, fit_forest(labelled_findings(docs.sparkSession)))
-    return found.select(*[F.col("redacted").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """``docs`` with every secret replaced in its text; no row goes.  The other
+    columns travel as one struct, so no name of theirs can clash."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = scan_documents(row, fit_forest(labelled_findings(docs.sparkSession)))
+    return found.select(*[F.col("redacted").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
