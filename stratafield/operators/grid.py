@@ -249,16 +249,19 @@ def soft_sweep(z: np.ndarray, weight: np.ndarray, target: np.ndarray, omega: flo
     the targets.  Nodes of an anti-diagonal depend only on the ones before and
     after it, so each is updated at once with the sequential sweep's result."""
     ny, nx = z.shape
+    flat, w, t = z.reshape(-1), weight.reshape(-1), target.reshape(-1)  # views: a diagonal is a strided slice
+    pull = np.where(w > 0.01, 0.1 * w, 0.0)
     most = 0.0
     for k in range(2, ny + nx - 3):
-        i = np.arange(max(1, k - nx + 2), min(ny - 2, k - 1) + 1)
-        j = k - i
-        old = z[i, j]
-        new = old + omega * ((z[i + 1, j] + z[i - 1, j] + z[i, j + 1] + z[i, j - 1]) / 4 - old)
-        pull = 0.1 * weight[i, j]
-        new = np.where(weight[i, j] > 0.01, new * (1 - pull) + target[i, j] * pull, new)
-        z[i, j] = np.clip(new, low, high)
-        most = max(most, np.abs(z[i, j] - old).max(initial=0.0))
+        first, last = max(1, k - nx + 2), min(ny - 2, k - 1)
+        at = slice(k + first * (nx - 1), k + last * (nx - 1) + 1, nx - 1)
+        side = lambda d, at=at: flat[at.start + d : at.stop + d : nx - 1]
+        old = flat[at].copy()
+        new = old + omega * ((side(nx) + side(-nx) + side(1) + side(-1)) / 4 - old)
+        new = np.where(pull[at] > 0, new * (1 - pull[at]) + t[at] * pull[at], new)
+        np.clip(new, low, high, out=new)
+        flat[at] = new
+        most = max(most, np.abs(new - old).max(initial=0.0))
     return most
 
 
@@ -298,27 +301,35 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     n = len(x)
     cx, cy, size = x.mean(), y.mean(), 20 * max(np.ptp(x), np.ptp(y), 1e-12)
     px, py = np.append(x, [cx - size, cx + size, cx]), np.append(y, [cy - size, cy - size, cy + size])
-    triangles = {(n, n + 1, n + 2)}
+    corners = np.zeros((8 * n + 16, 3), int)
+    circles = np.zeros((8 * n + 16, 3))  # centre and squared radius; a dead triangle has none
+    corners[0], used = (n, n + 1, n + 2), 1
 
-    def circle(t):
-        (ax, bx, cx_), (ay, by, cy_) = px[list(t)], py[list(t)]
+    def circle(c):
+        (ax, bx, cx_), (ay, by, cy_) = px[c].T, py[c].T
         d = 2 * (ax * (by - cy_) + bx * (cy_ - ay) + cx_ * (ay - by))
-        a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx_ * cx_ + cy_ * cy_
-        ux, uy = (a * (by - cy_) + b * (cy_ - ay) + c * (ay - by)) / d, (a * (cx_ - bx) + b * (ax - cx_) + c * (bx - ax)) / d
-        return ux, uy, (ux - ax) ** 2 + (uy - ay) ** 2
+        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx_ * cx_ + cy_ * cy_
+        ux, uy = (a2 * (by - cy_) + b2 * (cy_ - ay) + c2 * (ay - by)) / d, (a2 * (cx_ - bx) + b2 * (ax - cx_) + c2 * (bx - ax)) / d
+        return np.column_stack([ux, uy, (ux - ax) ** 2 + (uy - ay) ** 2])
 
-    circles = {t: circle(t) for t in triangles}
+    circles[:1] = circle(corners[:1])
     for p in range(n):
-        bad = [t for t, (ux, uy, r) in circles.items() if (px[p] - ux) ** 2 + (py[p] - uy) ** 2 < r * (1 - 1e-12)]
+        bad = np.flatnonzero((px[p] - circles[:used, 0]) ** 2 + (py[p] - circles[:used, 1]) ** 2 < circles[:used, 2] * (1 - 1e-12))
         edges: dict[tuple[int, int], int] = {}
-        for t in bad:
+        for t in corners[bad].tolist():
             for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                edges[tuple(sorted(e))] = edges.get(tuple(sorted(e)), 0) + 1
-            del circles[t]
-        for (a, b), seen in edges.items():
-            if seen == 1 and abs((px[b] - px[a]) * (py[p] - py[a]) - (py[b] - py[a]) * (px[p] - px[a])) > 1e-14 * size:
-                circles[a, b, p] = circle((a, b, p))
-    return np.array([t for t in circles if max(t) < n]).reshape(-1, 3)
+                e = (min(e), max(e))
+                edges[e] = edges.get(e, 0) + 1
+        circles[bad, 2] = -1.0
+        new = [(a, b, p) for (a, b), seen in edges.items() if seen == 1 and abs((px[b] - px[a]) * (py[p] - py[a]) - (py[b] - py[a]) * (px[p] - px[a])) > 1e-14 * size]
+        if new:
+            places = np.concatenate([bad[: len(new)], np.arange(used, used + max(0, len(new) - len(bad)))])
+            used += max(0, len(new) - len(bad))
+            if used + 16 > len(corners):
+                corners, circles = np.vstack([corners, np.zeros_like(corners)]), np.vstack([circles, np.zeros_like(circles)])
+            corners[places], circles[places] = new, circle(np.array(new))
+    alive = (circles[:used, 2] >= 0) & (corners[:used].max(axis=1) < n)
+    return corners[:used][alive]
 
 
 def linear_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
