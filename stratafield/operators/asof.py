@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def nearest(observations: DataFrame, base: DataFrame, value: str, time: str = "t_ms", by: list[str] | None = None, bucket: int = 3_600_000) -> DataFrame:
+def nearest(observations: DataFrame, base: DataFrame, value: str, time: str = "t_ms", by: list[str] | None = None, bucket: int = 3_600_000, direction: str = "nearest") -> DataFrame:
     """``observations`` with ``base_t`` and ``base_<value>`` of the base row
-    nearest in integral ``time``; of two equally near the earlier wins.  Of base
-    rows of one time the smallest value counts."""
+    nearest in integral ``time``; of two equally near the earlier wins.  With
+    ``direction="backward"`` the last one not later.  Of base rows of one time
+    the smallest value counts."""
     by = by or []
     record = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
     single = base.groupBy(*by, time).agg(F.min(value).alias(value)).withColumn("_bucket", F.floor(F.col(time) / bucket))
@@ -30,7 +31,10 @@ def nearest(observations: DataFrame, base: DataFrame, value: str, time: str = "t
     beyond = used.select(*by, "_bucket", F.last("_tail", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_head", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     met = near.join(beyond, [*by, "_bucket"], "left").withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     nearer = F.col("_hi.t") - F.col(time) < F.col(time) - F.col("_lo.t")
-    pick = F.when(F.col("_lo").isNull() | nearer, F.col("_hi")).otherwise(F.coalesce("_lo", "_hi"))
+    if direction == "backward":
+        pick = F.when(F.col("_hi.t") == F.col(time), F.col("_hi")).otherwise(F.col("_lo"))
+    else:
+        pick = F.when(F.col("_lo").isNull() | nearer, F.col("_hi")).otherwise(F.coalesce("_lo", "_hi"))
     out = met.withColumn("_pick", pick)
     return out.select(*observations.columns, F.col("_pick.t").alias("base_t"), F.col("_pick.v").alias(f"base_{value}"))
 

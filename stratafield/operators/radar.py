@@ -389,3 +389,19 @@ def run_steps(traces: DataFrame, steps: list[tuple[str, dict]]) -> list[tuple[st
             raise ValueError(f"unknown radar step {name!r}")
         out.append((name, STEPS[name](out[-1][1], **options)))
     return out
+
+
+def power_then_exponential(n: int, dt: float, alpha: float, beta: float, te: float, tcst: float) -> list[float]:
+    """Power gain and exponential gain after one another, per sample."""
+    return (np.array(gains(n, dt, "power", alpha, te, tcst)) * np.array(gains(n, dt, "exponential", beta, te))).tolist()
+
+
+def topography_depth(traces: DataFrame, altitude: str, dz: float) -> DataFrame:
+    """Shift by depth below the highest position: ``altitude`` is the height
+    above it, in the unit of ``dz``."""
+    return topography(traces, altitude, dz)
+
+
+def spreading(traces: DataFrame, dt: float, velocity: float, exponent: float = 1.0) -> DataFrame:
+    """Undo geometric spreading: samples times (velocity * time) ** exponent."""
+    return traces.withColumn("samples", F.transform("samples", lambda x, i: x * F.pow(velocity * dt * i, F.lit(exponent))))

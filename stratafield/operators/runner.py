@@ -89,7 +89,7 @@ def run(operator: Operator, df: DataFrame, params: object | None = None) -> RunR
         raise OperatorError(f"{operator.name}: {', '.join(found)}")
     begun = time.monotonic()
     try:
-        out = operator.apply(df, params) if operator.params else operator.apply(df)
+        out = operator.apply(df, params or operator.params()) if operator.params else operator.apply(df)
     except Exception as e:
         raise OperatorError(f"{operator.name}: {e}") from e
     result = out if isinstance(out, RunResult) else RunResult(out)

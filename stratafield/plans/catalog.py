@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Window, functions as F
 
 from stratafield.functions import angles, clock, geodesy, styling
-from stratafield.operators import anomaly, asof, grid, kinematics, layers, radar, segments, spectral, tables
+from stratafield.operators import anomaly, asof, grid, kinematics, layers, radar, segments, spectral, survey, tables
 
 from . import views
 from .views import r6, rounded, sql
@@ -758,3 +758,106 @@ def hourly_rates(s, d):
 
     rows = views.table(s, d, "events").select("ts", F.col("value").alias("field"))
     return rounded(flightline.rates(rows, "1 hour"), "mean_field")
+
+
+# bookkeeping
+
+
+@query(sql("track", f"""SELECT line_id, {r6("min(v)")} AS min_kmh, {r6("max(v)")} AS max_kmh, {r6("median(v)")} AS median_kmh, count(*) FILTER (WHERE v > 200) AS n_fast, count(*) FILTER (WHERE v < 1) AS n_slow, {r6("(max(t_ms) - min(t_ms)) / 60000.0::DOUBLE")} AS minutes
+    FROM (SELECT *, field * 3 AS v FROM track) GROUP BY line_id"""))
+def speed_summary(s, d):
+    out = survey.speed_summary(views.track(s, d).withColumn("speed_kmh", F.col("field") * 3))
+    return rounded(out, "min_kmh", "max_kmh", "median_kmh", "minutes").drop("mean_kmh", "per_minute")
+
+
+@query(sql("members", f"""SELECT t.line_id, t.n AS n_all, coalesce(m.n, 0) AS n_kept, {r6("coalesce(m.minutes, 0)")} AS minutes, {r6("100.0::DOUBLE * coalesce(m.n, 0) / t.n")} AS percent FROM (SELECT line_id, count(*) AS n FROM track GROUP BY line_id) t
+    LEFT JOIN (SELECT line_id, count(*) AS n, (max(t_ms) - min(t_ms)) / 60000.0::DOUBLE AS minutes FROM members GROUP BY line_id) m ON t.line_id = m.line_id"""))
+def retention(s, d):
+    return rounded(survey.retention(views.track(s, d), _members(s, d)), "minutes", "percent").select("line_id", "n_all", "n_kept", "minutes", "percent")
+
+
+@query("SELECT event_type, min(event_id) AS first_row, row_number() OVER (ORDER BY min(event_id)) - 1 AS rank FROM events GROUP BY event_type")
+def distinct_in_order(s, d):
+    return survey.distinct_in_order(views.table(s, d, "events"), "event_type", "event_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT event_id // 100 AS frame, count(*) AS n FROM events GROUP BY 1")
+def progressive_frames(s, d):
+    return survey.progressive_frames(views.table(s, d, "events"), "event_id", 1000).groupBy("frame").agg(F.count("*").alias("n"))
+
+
+@query(sql("track", f"SELECT event_id, {r6('(k * 3600 + seq / 250.0::DOUBLE) % 86400')} AS progress_s FROM track"))
+def progressive_time(s, d):
+    return rounded(survey.progressive_time(views.track(s, d), F.col("k") * 3600.0), "progress_s").select("event_id", "progress_s")
+
+
+@query(sql("walk", f"SELECT line_id, seq, {r6(f'first_value(lat IGNORE NULLS) OVER ({LINE} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS lat FROM walk"))
+def first_valid(s, d):
+    return rounded(survey.first_valid(views.walk(s, d), ["lat"]), "lat").select("line_id", "seq", "lat")
+
+
+@query(f"SELECT event_id, {r6('CASE WHEN value > 20 THEN value * 1.1 ELSE value * 0.9 END')} AS scaled FROM events")
+def conditional_scale(s, d):
+    return rounded(views.table(s, d, "events").select("event_id", survey.scaled_by_threshold(F.col("value"), 20).alias("scaled")), "scaled")
+
+
+@query(sql("track", "SELECT k, min(seq * 1000 + line_id) AS row_id FROM track WHERE k IN (SELECT unnest(range(0, 50, 7))) GROUP BY k"))
+def first_rows(s, d):
+    wanted = s.range(0, 50, 7).select(F.col("id").alias("k"))
+    rows = views.track(s, d).select("k", (F.col("seq") * 1000 + F.col("line_id")).alias("row_id"))
+    return asof.first_rows(wanted, rows, "k")
+
+
+@query(sql("track", "SELECT event_id AS row_id, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN field * 2 ELSE field END AS field FROM track"))
+def update_rows(s, d):
+    old = views.track(s, d).select(F.col("event_id").alias("row_id"), "event_type", "k", "field")
+    new = old.filter("event_type = 'view'").select("row_id", F.when(F.col("k") % 2 == 0, F.col("field") * 2).alias("field"))
+    return asof.update_rows(old, new, ["field"]).select("row_id", "field")
+
+
+@query(sql("members", "SELECT CASE WHEN direction IN ('N', 'S') THEN 'North_South' WHEN direction IN ('E', 'W') THEN 'East_West' WHEN direction IN ('NE', 'SW') THEN 'Northeast_Southwest' ELSE 'Northwest_Southeast' END AS pair, count(*) AS n FROM members GROUP BY 1"))
+def opposite_pairs(s, d):
+    named = angles.cardinal(F.col("mean_heading"), angles.LONG_CARDINALS)
+    return _members(s, d).groupBy(segments.cardinal_pair(named).alias("pair")).agg(F.count("*").alias("n"))
+
+
+@query(_POINTS + f", {_NODES}" + " SELECT DISTINCT iy, ix FROM nodes n JOIN points p ON sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) <= 0.02")
+def mask_buffer(s, d):
+    nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
+    return survey.near_points(nodes, views.points(s, d), 0.02).select("iy", "ix")
+
+
+@query(_POINTS + f", {_NODES}" + f""", f AS (SELECT c_custkey, x * 39 - floor(x * 39) AS u, y * 39 - floor(y * 39) AS v, CAST(floor(x * 39) AS BIGINT) AS i, CAST(floor(y * 39) AS BIGINT) AS j FROM points)
+    SELECT c_custkey, {r6("(a.iy * 3 + a.ix * a.ix) * (1 - u) * (1 - v) + (b.iy * 3 + b.ix * b.ix) * u * (1 - v) + (c.iy * 3 + c.ix * c.ix) * (1 - u) * v + (e.iy * 3 + e.ix * e.ix) * u * v")} AS fitted
+    FROM f JOIN nodes a ON a.ix = i AND a.iy = j JOIN nodes b ON b.ix = i + 1 AND b.iy = j JOIN nodes c ON c.ix = i AND c.iy = j + 1 JOIN nodes e ON e.ix = i + 1 AND e.iy = j + 1""")
+def bilinear_fit(s, d):
+    cells = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumn("value", (F.col("iy") * 3 + F.col("ix") ** 2).cast("double"))
+    out = survey.bilinear(views.points(s, d), cells, 0.0, 0.0, 1 / 39, 1 / 39)
+    return rounded(out, "fitted").select("c_custkey", "fitted")
+
+
+@query("SELECT turn, count(*) AS n, CASE WHEN contains(lower(role), 'gps') THEN 'gps' ELSE 'other' END AS category FROM conversations GROUP BY turn, category")
+def metadata_groups(s, d):
+    return views.table(s, d, "conversations").groupBy("turn", styling.metadata_group(F.col("role")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, printf('%.6f', s_acctbal) AS shown FROM supplier")
+def cell_format(s, d):
+    return views.table(s, d, "supplier").select("s_suppkey", survey.cell_text(F.col("s_acctbal")).alias("shown"))
+
+
+@query()
+def magbase_chain(s, d):
+    from .scripts import MagbaseParams, magbase
+
+    _, base = _observed(s, d)
+    walk = views.walk(s, d).withColumns({"bx1": F.col("bx"), "by1": F.col("by"), "bz1": F.col("bz"), "btotal2": F.col("field")}).drop("bx", "by", "bz", "easting", "northing")
+    out = magbase(walk, MagbaseParams(base=base, vertical_alignment=True)).data
+    return rounded(out, "utm_easting1", "utm_northing1", "r1", "r2", "va").select("event_id", "utm_easting1", "utm_northing1", "r1", "r2", "va")
+
+
+@query()
+def anomaly_grid_chain(s, d):
+    from .scripts import AnomalyParams, anomaly_processor
+
+    return _longs(rounded(anomaly_processor(views.grid(s, d), AnomalyParams()).data, "analytic_signal", "tilt", "horizontal_gradient")).select("grid_id", "iy", "ix", "analytic_signal", "tilt", "horizontal_gradient")
