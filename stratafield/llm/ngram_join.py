@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialize(prefixes(blocks, named, answers, bits), "prefixes")
     roots = link_nodes(found)
     rooted = classes.select("sign", "node").join(roots, "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sign")).alias("sign")).join(rooted, "sign", "left")
+    own = F.to_binary(F.concat_ws(".", "block", "place"), F.lit("utf-8"))  # empty sets: a key of each row's own
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sign")).otherwise(own).alias("sign")).join(rooted, "sign", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
@@ -300,7 +301,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     judged = materialize(near_duplicates(docs.select("doc_id", "text")), "components")
     gone = judged.filter("doc_id IS NOT NULL AND component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*own)  # both sides grow with the input
+    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").select(*own)  # both sides grow with the input
+    kept = named.unionByName(docs.filter("doc_id IS NULL").select(*own))  # no null key in the shuffle
     again = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
