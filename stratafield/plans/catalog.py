@@ -102,7 +102,18 @@ def stable_islands(s, d):
     return rounded(_runs(s, d), "mean_heading").select("line_id", "start_seq", "end_seq", "n_rows", "mean_heading")
 
 
-@query()
+_RUNS2 = sql("stable", "SELECT 1").replace("SELECT 1", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+    flags AS (SELECT *, stability < 75 AND speed > 0 AS ok FROM stable),
+    marks AS (SELECT *, sum(CASE WHEN ok <> coalesce(prev, false) THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY seq) AS island FROM (SELECT *, lag(ok) OVER (PARTITION BY line_id ORDER BY seq) AS prev FROM flags)),
+    runs AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY start_seq) AS i FROM (SELECT line_id, min(seq) AS start_seq, max(seq) AS end_seq, (degrees(atan2(avg(sin(radians(heading))), avg(cos(radians(heading))))) + 360) % 360 AS h
+      FROM marks WHERE ok GROUP BY line_id, island HAVING count(*) >= 2)),
+    pre AS (SELECT line_id, seq, sum(sin(radians(heading))) OVER w AS s, sum(cos(radians(heading))) OVER w AS c FROM stable WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+    fold AS (SELECT line_id, i, start_seq, end_seq, h FROM runs WHERE i = 1 UNION ALL SELECT line_id, i, CASE WHEN m THEN fs ELSE ns END, ne, CASE WHEN m THEN (degrees(atan2(s1 - s0, c1 - c0)) + 360) % 360 ELSE nh END FROM (
+      SELECT f.line_id, n.i, f.start_seq AS fs, n.start_seq AS ns, n.end_seq AS ne, n.h AS nh, e.s AS s1, e.c AS c1, coalesce(b.s, 0) AS s0, coalesce(b.c, 0) AS c0, least(abs(f.h - n.h), 360 - abs(f.h - n.h)) <= 15 AND n.start_seq - f.end_seq <= 3 AS m
+      FROM fold f JOIN runs n ON n.line_id = f.line_id AND n.i = f.i + 1 JOIN pre e ON e.line_id = n.line_id AND e.seq = n.end_seq LEFT JOIN pre b ON b.line_id = f.line_id AND b.seq = f.start_seq - 1))"""
+
+
+@query(_RUNS2 + f""" SELECT f.line_id, f.start_seq, f.end_seq, {r6("f.h")} AS mean_heading FROM fold f LEFT JOIN fold n ON n.line_id = f.line_id AND n.i = f.i + 1 WHERE (n.i IS NULL OR n.start_seq <> f.start_seq) AND f.end_seq - f.start_seq >= 3""")
 def islands_merged(s, d):
     track = _stable(s, d)
     return rounded(segments.merge_islands(track, segments.islands(track, 75.0, 0.0, 2), 15.0, 3), "mean_heading")
@@ -435,7 +446,11 @@ def gradient_flags(s, d):
     return rounded(anomaly.gradient_flags(views.track(s, d), "field"), "gradient").select("event_id", "gradient", "flag")
 
 
-@query()
+@query(_TRACK + f""", q AS (SELECT quantile_cont(field, 0.25) AS a, quantile_cont(field, 0.75) AS b FROM track), kept AS (SELECT * FROM track, q WHERE field BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)),
+    sm AS (SELECT *, CASE WHEN count(field) OVER w = 5 THEN avg(field) OVER w ELSE field END AS smooth FROM kept WINDOW w AS ({LINE} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    sc AS (SELECT *, abs((smooth - m) / sd) AS score, abs(coalesce(CASE WHEN lag(smooth) OVER w IS NULL THEN lead(smooth) OVER w - smooth WHEN lead(smooth) OVER w IS NULL THEN smooth - lag(smooth) OVER w ELSE (lead(smooth) OVER w - lag(smooth) OVER w) / 2 END, 0.0)) AS g
+      FROM sm, (SELECT avg(smooth) AS m, stddev_pop(smooth) AS sd FROM sm) WINDOW w AS ({LINE}))
+    SELECT event_id, {r6('score')} AS score, score > 2.5 OR g > t AS is_anomaly FROM sc, (SELECT quantile_cont(g, 0.95) AS t FROM sc)""")
 def anomaly_chain(s, d):
     return rounded(anomaly.statistical_anomalies(views.track(s, d), "field"), "score").select("event_id", "score", "is_anomaly")
 
@@ -562,7 +577,7 @@ def migration(s, d):
     return _flat(radar.migrate(views.traces(s, d), 0.05, 1.0, 0.1))
 
 
-@query()
+@query(sql("cells", f"SELECT segment, trace_no, k, {r6('value - list_avg(v[c + 1:len(v) - c])')} AS value FROM (SELECT *, CAST(floor(len(v) * 0.2) AS BIGINT) AS c FROM (SELECT *, list_sort(list(value) OVER (PARTITION BY segment, k ORDER BY trace_no ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS v FROM cells))"))
 def local_background(s, d):
     return _flat(radar.remove_local_background(views.traces(s, d)))
 
@@ -577,7 +592,9 @@ def fir_band_pass(s, d):
     return _flat(radar.fir_band_pass(views.traces(s, d), 1.0, (0.02, 0.05, 0.2, 0.3)))
 
 
-@query()
+@query(sql("cells", """, flips AS (SELECT segment, trace_no, k FROM (SELECT *, lead(value) OVER (PARTITION BY segment, trace_no ORDER BY k) AS nx FROM cells) WHERE value * nx < 0),
+    picks AS (SELECT segment, trace_no, list_sort(list(k) FILTER (WHERE k >= 32)) AS a, list_sort(list(k) FILTER (WHERE k < 32)) AS b FROM flips GROUP BY ALL)
+    SELECT t.segment, t.trace_no, CASE WHEN len(b) >= 2 THEN b[len(b) - 1] + 1 END AS pick_from, a[2] AS pick_to FROM traces t LEFT JOIN picks p ON t.segment = p.segment AND t.trace_no = p.trace_no""").replace(")\n, flips", "),\nflips"))
 def reflections(s, d):
     picked = radar.pick_reflection(views.traces(s, d), 32)
     return picked.select("segment", "trace_no", F.col("pick_from").cast("long").alias("pick_from"), F.col("pick_to").cast("long").alias("pick_to"))
@@ -669,7 +686,10 @@ def residual_metrics(s, d):
     return rounded(out, "rmse", "mae", "r2", "mean_residual", "std_residual")
 
 
-@query()
+@query(_CELL + f""", g AS (SELECT {_CELLS}, value, min(value) OVER p AS lo, (max(value) OVER p - min(value) OVER p) / 10 AS st, lead(value) OVER r AS e, lead(value) OVER c AS n FROM cells
+      WINDOW p AS (PARTITION BY segment), r AS (PARTITION BY segment, trace_no ORDER BY k), c AS (PARTITION BY segment, k ORDER BY trace_no)),
+    l AS (SELECT *, floor((greatest(value, e) - lo) / st) AS ea, floor((least(value, e) - lo) / st) AS eb, floor((greatest(value, n) - lo) / st) AS na, floor((least(value, n) - lo) / st) AS nb FROM g)
+    SELECT grid_id, iy, ix, CAST(level_no AS BIGINT) AS level_no FROM (SELECT *, greatest(CASE WHEN e IS NOT NULL AND ea > eb THEN ea END, CASE WHEN n IS NOT NULL AND na > nb THEN na END) AS level_no FROM l) WHERE level_no IS NOT NULL""")
 def contours(s, d):
     return _longs(grid.contour_cells(views.grid(s, d))).select("grid_id", "iy", "ix", F.col("level_no").cast("long").alias("level_no"))
 
@@ -687,7 +707,8 @@ def gaussian_smooth(s, d):
 
 @query()
 def euler(s, d):
-    return rounded(grid.euler_solutions(views.grid(s, d), 1.0, 1.0), "x", "y", "depth")
+    smooth = grid.per_grid(views.grid(s, d), lambda z: {"value": grid.gaussian(z, 2.0)}, ["value"])
+    return rounded(grid.euler_solutions(smooth, 1.0, 1.0, 1.0, 10, "corrected"), "x", "y", "depth")
 
 
 
@@ -846,14 +867,31 @@ def cell_format(s, d):
     return views.table(s, d, "supplier").select("s_suppkey", survey.cell_text(F.col("s_acctbal")).alias("shown"))
 
 
-@query()
+def _magbase_sql() -> str:
+    a, e = geodesy.ALPHA, geodesy.E2**0.5
+    xi = " + ".join(["xi0"] + [f"{x!r}::DOUBLE * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, x in enumerate(a, 1)])
+    eta = " + ".join(["eta0"] + [f"{x!r}::DOUBLE * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, x in enumerate(a, 1)])
+    fix = "CASE WHEN fix THEN {{'seq': seq, 'lat': lat, 'lon': lon}} END".replace("{{", "{").replace("}}", "}")
+    return sql("walk", f""", trim AS (SELECT * FROM (SELECT *, min(CASE WHEN fix THEN seq END) OVER (PARTITION BY line_id) AS f0, max(CASE WHEN fix THEN seq END) OVER (PARTITION BY line_id) AS f1 FROM walk) WHERE f0 IS NULL OR seq BETWEEN f0 AND f1),
+    ends AS (SELECT *, last_value({fix} IGNORE NULLS) OVER ({LINE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, first_value({fix} IGNORE NULLS) OVER ({LINE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM trim),
+    filled AS (SELECT event_id, t_ms, sqrt(bx * bx + "by" * "by" + bz * bz) AS b1, field AS b2, CASE WHEN hi.seq > lo.seq THEN lo.lat + (seq - lo.seq) / (hi.seq - lo.seq)::DOUBLE * (hi.lat - lo.lat) ELSE lat END AS lat,
+      CASE WHEN hi.seq > lo.seq THEN lo.lon + (seq - lo.seq) / (hi.seq - lo.seq)::DOUBLE * (hi.lon - lo.lon) ELSE lon END AS lon FROM ends),
+    base AS (SELECT t_ms, min(field) AS nT FROM track WHERE event_type = 'error' GROUP BY t_ms),
+    near AS (SELECT f.event_id, min_by(b.nT, (abs(b.t_ms - f.t_ms), b.t_ms)) AS nT FROM filled f, base b GROUP BY f.event_id)
+    SELECT event_id, (round(500000 + {geodesy.K0 * geodesy.RECTIFYING!r}::DOUBLE * ({eta}) + 0.0375, 3) + 0.0) AS utm_easting1, (round({geodesy.K0 * geodesy.RECTIFYING!r}::DOUBLE * ({xi}) - 0.56, 3) + 0.0) AS utm_northing1,
+      {r6("b1 - nT")} AS r1, {r6("b2 - nT")} AS r2, {r6("(b1 - nT) - (b2 - nT)")} AS va FROM
+      (SELECT *, atan2(t, cos(lam)) AS xi0, atanh(sin(lam) / sqrt(1 + t * t)) AS eta0 FROM (SELECT *, radians(lon - 15) AS lam, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM filled JOIN near USING (event_id)))""").replace(")\n, trim", "),\ntrim")
+
+
+@query(_magbase_sql())
 def magbase_chain(s, d):
     from .scripts import MagbaseParams, magbase
 
     _, base = _observed(s, d)
     walk = views.walk(s, d).withColumns({"bx1": F.col("bx"), "by1": F.col("by"), "bz1": F.col("bz"), "btotal2": F.col("field")}).drop("bx", "by", "bz", "easting", "northing")
     out = magbase(walk, MagbaseParams(base=base, vertical_alignment=True)).data
-    return rounded(out, "utm_easting1", "utm_northing1", "r1", "r2", "va").select("event_id", "utm_easting1", "utm_northing1", "r1", "r2", "va")
+    metres = {c: F.round(c, 3) for c in ("utm_easting1", "utm_northing1")}
+    return rounded(out.withColumns(metres), "r1", "r2", "va").select("event_id", "utm_easting1", "utm_northing1", "r1", "r2", "va")
 
 
 @query()
