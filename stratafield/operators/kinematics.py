@@ -50,24 +50,26 @@ def speed_kmh(track: DataFrame, smooth: int = 5) -> DataFrame:
     dt = F.greatest(F.lit(0.01), F.least(F.lit(60.0), (F.lead("t_ms").over(line()) - F.col("t_ms")) / 1000.0))
     step = track.withColumn("_v", F.when(F.lead("t_ms").over(line()).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(500.0), _step_m(F.lead) / dt * 3.6))))
     step = step.withColumn("_n", F.count("*").over(whole()))
-    inner = reflect_average(step.filter("_v IS NOT NULL"), {"_s": F.col("_v")}, smooth)
-    last = F.when(F.col("_n") - 1 > smooth, F.col("_s")).otherwise(F.col("_v"))
-    joined = step.drop("_v").join(inner.select("line_id", "seq", "_v", "_s"), ["line_id", "seq"], "left").withColumn("_x", last)
-    return joined.withColumn("speed_kmh", F.coalesce("_x", F.lag("_x").over(line()), F.lit(0.0))).drop("_v", "_s", "_n", "_x")
+    mean = reflect_average(step, {"_s": F.col("_v")}, smooth, F.col("_v").isNotNull())
+    mean = mean.withColumn("_x", F.when(F.col("_n") - 1 > smooth, F.col("_s")).otherwise(F.col("_v")))
+    return mean.withColumn("speed_kmh", F.coalesce("_x", F.lag("_x").over(line()), F.lit(0.0))).drop("_v", "_s", "_n", "_x")
 
 
-def reflect_average(track: DataFrame, columns: dict[str, Column], size: int) -> DataFrame:
+def reflect_average(track: DataFrame, columns: dict[str, Column], size: int, use: Column | None = None) -> DataFrame:
     """Moving averages over ``size`` rows with mirrored ends: row i averages rows
     i - size//2 to i + (size-1)//2.  The mirror rows are made per row, so the
-    average is one window of the line; lines need at least size//2 rows."""
+    average is one window of the line; lines need at least size//2 rows.  Rows
+    outside ``use`` (the last ones of a line) stay out and get null."""
     left, right = size // 2, size - size // 2 - 1
+    use = F.lit(True) if use is None else use
     n, i = F.col("_rows"), F.col("seq").cast("long")
-    numbered = track.select("*", F.count("*").over(whole()).alias("_rows"))
-    places = F.filter(F.array(i, F.when(i < left, -1 - i), F.when(i >= n - right, 2 * n - 1 - i)), lambda p: p.isNotNull())
+    numbered = track.select("*", use.alias("_use"), F.count_if(use).over(whole()).alias("_rows"))
+    far = F.lit(1 << 60)
+    places = F.when(F.col("_use"), F.filter(F.array(i, F.when(i < left, -1 - i), F.when(i >= n - right, 2 * n - 1 - i)), lambda p: p.isNotNull())).otherwise(F.array(far))
     spread = numbered.withColumns({f"_in_{k}": c for k, c in columns.items()}).withColumn("_at", F.explode(places))
     around = Window.partitionBy("line_id").orderBy("_at").rowsBetween(-left, right)
-    out = spread.withColumns({k: F.avg(f"_in_{k}").over(around) for k in columns})
-    return out.filter(F.col("_at") == i).drop("_at", "_rows", *[f"_in_{k}" for k in columns])
+    out = spread.withColumns({k: F.when(F.col("_use"), F.avg(f"_in_{k}").over(around)) for k in columns})
+    return out.filter((F.col("_at") == i) | (F.col("_at") == far)).drop("_at", "_rows", "_use", *[f"_in_{k}" for k in columns])
 
 
 def smooth_heading(track: DataFrame, size: int) -> DataFrame:
