@@ -17,8 +17,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def track(spark: SparkSession, sf: str) -> DataFrame:
     """One line per user: seq, t_ms, k, easting, northing, field."""
-    seq = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
-    rows = events(spark, sf).select(F.col("user_id").alias("line_id"), seq.alias("seq"), "event_id", "event_type", "t_ms", "k", F.col("value").alias("field"))
+    rows = events(spark, sf).select(F.col("user_id").alias("line_id"), "ts", "event_id", "event_type", "t_ms", "k", F.col("value").alias("field"))
+    seq = (F.row_number().over(Window.partitionBy("line_id").orderBy("ts", "event_id")) - 1).cast("long")  # by the name that later windows use: one shuffle serves all
+    rows = rows.select("line_id", seq.alias("seq"), "event_id", "event_type", "t_ms", "k", "field")
     return rows.withColumns({"easting": F.lit(500000.0) + 10 * F.col("seq") + F.col("k") / 10.0, "northing": F.lit(7000000.0) + F.col("field")})
 
 
@@ -42,8 +43,9 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf: str) -> DataFrame:
-    number = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    return table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("segment"), number.alias("trace_no"), F.col("embedding").cast("array<double>").alias("samples"))
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("segment"), "vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    number = (F.row_number().over(Window.partitionBy("segment").orderBy("vec_id")) - 1).cast("long")
+    return rows.select("segment", number.alias("trace_no"), "samples")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
