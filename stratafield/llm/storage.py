@@ -46,7 +46,9 @@ def materialize_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> D
     path = new_path(spark, label)
     name = path.rpartition("/")[2].replace("-", "_")
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)  # resolved here, with its buckets
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone: the files are external
+    return table
 
 
 def partitions(spark: SparkSession) -> int:
