@@ -344,6 +344,64 @@ def linear_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
     return out
 
 
+def vertex_gradients(x: np.ndarray, y: np.ndarray, z: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    """Gradient at each point: plane through it that fits the points it shares a
+    triangle with best, nearer ones weighing more; 0 for lone points."""
+    pairs = np.unique(np.vstack([triangles[:, [i, j]] for i in range(3) for j in range(3) if i != j]), axis=0)
+    a, b = pairs.T
+    dx, dy, dz = x[b] - x[a], y[b] - y[a], z[b] - z[a]
+    w = 1 / np.maximum(dx * dx + dy * dy, 1e-300)
+    total = lambda v: np.bincount(a, w * v, len(x))
+    xx, xy, yy, xz, yz = total(dx * dx), total(dx * dy), total(dy * dy), total(dx * dz), total(dy * dz)
+    det = xx * yy - xy * xy
+    safe = np.where(det > 1e-12 * np.maximum(xx * yy, 1e-300), det, np.inf)
+    return np.column_stack([(yy * xz - xy * yz) / safe, (xx * yz - xy * xz) / safe])
+
+
+def cubic_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """Smooth interpolation over the Delaunay triangles, nan outside: every
+    triangle is split at its centroid into three cubics in Bernstein form, with
+    the vertex gradients and a slope across each edge that is linear along it,
+    so that value and slope are continuous everywhere."""
+    out, triangles = np.full(gx.shape, np.nan), triangulate(x, y)
+    if not len(triangles):
+        return out
+    slope, place = vertex_gradients(x, y, z, triangles), np.column_stack([x, y])
+    for t in triangles:
+        v, f, g = place[t], z[t], slope[t]
+        c = v.mean(axis=0)
+        low, high = v.min(axis=0), v.max(axis=0)
+        near = (gx >= low[0] - 1e-12) & (gx <= high[0] + 1e-12) & (gy >= low[1] - 1e-12) & (gy <= high[1] + 1e-12) & np.isnan(out)
+        if not near.any():
+            continue
+        toward = lambda i, q: f[i] + g[i] @ (q - v[i]) / 3  # noqa: B023, E731
+        inner = [toward(i, c) for i in range(3)]
+        edges = {}
+        for i, j in ((0, 1), (1, 2), (2, 0)):
+            along = v[j] - v[i]
+            normal = np.array([-along[1], along[0]])
+            wj, wc = np.linalg.solve(np.column_stack([along, c - v[i]]), normal)
+            wi = -wj - wc
+            bij, bji = toward(i, v[j]), toward(j, v[i])
+            first, last = wi * f[i] + wj * bij + wc * inner[i], wi * bji + wj * f[j] + wc * inner[j]
+            edges[i, j] = bij, bji, ((first + last) / 2 - wi * bij - wj * bji) / wc
+        deep = [(inner[i] + edges[i, (i + 1) % 3][2] + edges[(i + 2) % 3, i][2]) / 3 for i in range(3)]
+        middle = sum(deep) / 3
+        qx, qy = gx[near], gy[near]
+        found = np.full(qx.shape, np.nan)
+        for (i, j), (bij, bji, bij1) in edges.items():
+            base = np.column_stack([v[j] - v[i], c - v[i]])
+            lj, lc = np.linalg.solve(base, np.vstack([qx - v[i, 0], qy - v[i, 1]]))
+            li = 1 - lj - lc
+            value = (
+                li**3 * f[i] + lj**3 * f[j] + lc**3 * middle + 3 * (li**2 * lj * bij + li * lj**2 * bji + li**2 * lc * inner[i] + lj**2 * lc * inner[j] + li * lc**2 * deep[i] + lj * lc**2 * deep[j]) + 6 * li * lj * lc * bij1
+            )
+            hit = (li >= -1e-9) & (lj >= -1e-9) & (lc >= -1e-9) & np.isnan(found)
+            found[hit] = value[hit]
+        out[near] = np.where(np.isnan(found), out[near], found)
+    return out
+
+
 def nearest_grid(x, y, z, gx, gy, rows: int = 512) -> np.ndarray:
     flat = np.column_stack([gx.ravel(), gy.ravel()])
     picks = [((f[:, None, :] - np.column_stack([x, y])[None]) ** 2).sum(-1).argmin(1) for f in np.array_split(flat, -(-len(flat) // rows))]
@@ -412,3 +470,25 @@ def minimum_curvature(points: DataFrame, nx: int, ny: int, soft: bool = True, ro
 
     kind = points.schema["grid_id"].dataType.simpleString()
     return points.select("grid_id", "x", "y", "z").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")
+
+
+SCATTER = {"linear": linear_grid, "nearest": nearest_grid, "cubic": cubic_grid}
+
+
+def scatter_grid(points: DataFrame, nx: int, ny: int, method: str = "cubic", pad: float = 0.01) -> DataFrame:
+    """Scattered points (grid_id, x, y, z) on a mesh: linear, nearest or cubic;
+    null outside the hull for the first and last.  One task per grid."""
+    if method not in SCATTER:
+        raise ValueError(f"unknown method {method!r}")
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.dropna(subset=["x", "y", "z"]).groupby(["x", "y"], as_index=False).agg({"grid_id": "first", "z": "mean"})
+        x, y, z = (table[c].to_numpy(float) for c in "xyz")
+        ax, ay = (np.linspace(v.min() - pad * np.ptp(v), v.max() + pad * np.ptp(v), n) for v, n in ((x, nx), (y, ny)))
+        gx, gy = np.meshgrid(ax, ay)
+        value = SCATTER[method](x, y, z, gx, gy).ravel()
+        iy, ix = np.indices(gx.shape)
+        return pd.DataFrame({"grid_id": table["grid_id"].iloc[0], "iy": iy.ravel(), "ix": ix.ravel(), "x": gx.ravel(), "y": gy.ravel(), "value": [None if np.isnan(v) else v for v in value]})
+
+    kind = points.schema["grid_id"].dataType.simpleString()
+    return points.select("grid_id", "x", "y", "z").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")

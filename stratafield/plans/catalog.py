@@ -713,6 +713,11 @@ def euler(s, d):
 
 
 
+@query()
+def cubic_grid(s, d):
+    return _longs(rounded(grid.scatter_grid(views.points(s, d), 30, 30), "x", "y", "value"))
+
+
 @query()
 def mincurve_soft(s, d):
     return _longs(rounded(grid.minimum_curvature(views.points(s, d), 30, 30, True, 200), "x", "y", "value"))

@@ -150,3 +150,22 @@ def test_migration_collapses_a_diffraction(spark):
     df = spark.createDataFrame(rows, "segment int, trace_no int, samples array<double>")
     out = np.array([r["samples"] for r in radar.migrate(df, dx, dt, v).orderBy("trace_no").collect()])
     assert np.unravel_index(out.argmax(), out.shape) == (20, 60)
+
+
+def test_cubic_grid_keeps_planes_points_and_slopes():
+    x, y = RNG.random(40), RNG.random(40)
+    gx, gy = np.meshgrid(np.linspace(0.1, 0.9, 25), np.linspace(0.1, 0.9, 25))
+    flat = grid.cubic_grid(x, y, 2 * x - 3 * y + 1, gx, gy)
+    inside = np.isfinite(flat)
+    assert inside.sum() > 400 and np.allclose(flat[inside], (2 * gx - 3 * gy + 1)[inside])
+    z = np.sin(4 * x) * np.cos(3 * y)
+    assert np.allclose(grid.cubic_grid(x, y, z, x[None], y[None])[0], z, atol=1e-7)
+    line = np.linspace(0.2, 0.8, 60_001)
+    walk = grid.cubic_grid(x, y, z, line[None], np.full_like(line, 0.437)[None])[0]
+    slopes = np.diff(walk) / np.diff(line)
+    assert np.isfinite(slopes).all() and np.abs(np.diff(slopes)).max() < 5e-3
+    rough = grid.linear_grid(x, y, z, line[None], np.full_like(line, 0.437)[None])[0]
+    assert np.abs(np.diff(np.diff(rough) / np.diff(line))).max() > 0.05
+    truth = np.sin(4 * gx) * np.cos(3 * gy)
+    error = lambda f: np.sqrt(np.nanmean((f(x, y, z, gx, gy) - truth) ** 2))
+    assert error(grid.cubic_grid) < error(grid.linear_grid)
