@@ -185,12 +185,12 @@ def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int)
                 parts[r.as_py()] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
         if places and mine.num_rows:
             sets = _sets(mine)
-            keys = np.unique(_short([sets[i] for i in places], bits))
-            classes = np.concatenate([parts[r] for r in sorted(parts)])
+            _, key = np.unique(_short([sets[i] for i in places], bits), return_inverse=True)
+            every, done = np.concatenate([parts[r] for r in sorted(parts)])[key], 0
             for i, node in zip(places, names, strict=True):
                 grams = sets[i]
                 n = len(grams)
-                rare = classes[np.searchsorted(keys, (grams >> np.uint64(64 - bits)).astype(np.int64))]
+                rare, done = every[done : done + n], done + n
                 order = np.argsort(rare, kind="stable")[: n - (PERCENT * n + 99) // 100 + 1]
                 shared = np.flatnonzero(rare[order])
                 if len(shared):
