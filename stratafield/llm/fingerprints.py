@@ -36,6 +36,8 @@ from .storage import partitions
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 ANCHORS = 32
+#: Ranges of doc_id for each partition: several, so that the hash that deals them evens out.
+RANGES = 8
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -152,11 +154,12 @@ def beside_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, doc_id, text, guest) sorted within a part so that each row's
     next document is the row below; guest rows only serve as a last next one."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(keyed.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    ranges = RANGES * parts if parts > 1 else 1
+    cuts = sorted(set(keyed.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     low = F.lit(-(2**63))
     part = F.lit(len(cuts)) - _range_of(F.col("doc_id").cast("double"), cuts)  # descending
     keyed = keyed.select(F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(len(cuts) + 1)).cast("long").alias("part"), F.coalesce("doc_id", low).alias("key"), F.xxhash64("text").alias("tie"), "doc_id", "text")
-    heads = sorted((r["part"], r["key"]) for r in keyed.groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per part
+    heads = sorted((r["part"], r["key"]) for r in keyed.groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per range
     if not heads:
         return keyed.select("part", "doc_id", "text", F.lit(0).alias("guest"))
     hosts = docs.sparkSession.createDataFrame([(p, key, heads[i - 1][0]) for i, (p, key) in enumerate(heads)], "part long, key long, host long")
