@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .quantiles import quantiles
 
 def line():
     return Window.partitionBy("line_id").orderBy("seq")
@@ -27,20 +29,25 @@ def _with(df: DataFrame, *scalars) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*scalars)))  # one row
 
 
+def _median(df: DataFrame, value: Column, name: str) -> DataFrame:
+    middle = quantiles(df, value, [0.5], "_q").select(F.col("_q")[0].alias(name))
+    return df.crossJoin(F.broadcast(middle))  # one row
+
+
 def zscore(df: DataFrame, column: str) -> DataFrame:
     both = _with(df, F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
     return both.withColumn("score", F.abs(F.try_divide(F.col(column) - F.col("_m"), F.col("_s")))).drop("_m", "_s")
 
 
 def iqr_score(df: DataFrame, column: str) -> DataFrame:
-    both = _with(df, F.percentile(column, [0.25, 0.5, 0.75]).alias("_q"))
+    both = df.crossJoin(F.broadcast(quantiles(df, column, [0.25, 0.5, 0.75], "_q")))  # one row
     return both.withColumn("score", F.try_divide(F.abs(F.col(column) - F.col("_q")[1]), (F.col("_q")[2] - F.col("_q")[0]) / 1.349)).drop("_q")
 
 
 def mad(df: DataFrame, column: str) -> DataFrame:
     """``df`` with its median and the median absolute deviation from it."""
-    middle = _with(df, F.median(column).alias("_median"))
-    return _with(middle, F.median(F.abs(F.col(column) - F.col("_median"))).alias("_mad"))
+    middle = _median(df, F.col(column), "_median")
+    return _median(middle, F.abs(F.col(column) - F.col("_median")), "_mad")
 
 
 def modified_zscore(df: DataFrame, column: str) -> DataFrame:
@@ -52,14 +59,15 @@ def mad_noise(df: DataFrame, column: str) -> DataFrame:
 
 
 def poisson_z(df: DataFrame, column: str) -> DataFrame:
-    both = _with(df, F.median(column).alias("_m"))
+    both = _median(df, F.col(column), "_m")
     return both.withColumn("z", F.when(F.col("_m") > 0, (F.col(column) - F.col("_m")) / F.sqrt("_m")).otherwise(0.0)).drop("_m")
 
 
 def gradient_flags(track: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """Rows whose absolute gradient passes its percentile."""
     sloped = gradient(track, column).withColumn("_g", F.abs("gradient"))
-    return _with(sloped, F.percentile("_g", share).alias("_t")).withColumn("flag", F.col("_g") > F.col("_t")).drop("_g", "_t")
+    cut = quantiles(sloped, "_g", [share], "_t")
+    return sloped.crossJoin(F.broadcast(cut)).withColumn("flag", F.col("_g") > F.col("_t")[0]).drop("_g", "_t")  # one row
 
 
 def statistical_anomalies(track: DataFrame, column: str, method: str = "zscore", threshold: float = 2.5, smoothing: int = 5, outliers: bool = True, slopes: bool = True) -> DataFrame:

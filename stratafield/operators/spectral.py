@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import quantiles
+
 
 def ndvi(red: Column, nir: Column) -> Column:
     """Null or non-finite becomes 0."""
@@ -14,9 +16,10 @@ def ndvi(red: Column, nir: Column) -> Column:
 
 def stretch(df: DataFrame, columns: list[str], percent: float = 2.0) -> DataFrame:
     """Linear stretch between the percentiles, held to 0 to 1; null where they
-    coincide.  All percentiles come from one pass."""
-    cuts = df.agg(*[F.percentile(c, [percent / 100, 1 - percent / 100]).alias(f"_p_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(cuts))  # one row
+    coincide."""
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(quantiles(df, c, [percent / 100, 1 - percent / 100], f"_p_{c}")))  # one row
     scaled = {f"{c}_stretched": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(c) - F.col(f"_p_{c}")[0], F.col(f"_p_{c}")[1] - F.col(f"_p_{c}")[0]))) for c in columns}
     return out.withColumns(scaled).drop(*[f"_p_{c}" for c in columns])
 
@@ -49,8 +52,8 @@ def rx_distance(df: DataFrame, columns: list[str], share: float = 0.95, ridge: f
         for j in range(k):
             total = total + away[i] * float(inverse[i, j]) * away[j]
     scored = df.withColumn("rxd", F.when(finite, F.sqrt(F.greatest(total, F.lit(0.0)))).otherwise(0.0))
-    cut = scored.agg(F.percentile("rxd", share).alias("_cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("rxd") > F.col("_cut")).drop("_cut")  # one row
+    cut = quantiles(scored, "rxd", [share], "_cut")
+    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("rxd") > F.col("_cut")[0]).drop("_cut")  # one row
 
 
 def texture(track: DataFrame, column: str, reach: int = 2) -> DataFrame:

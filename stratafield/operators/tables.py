@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from .quantiles import quantiles
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
@@ -116,7 +118,7 @@ def within(df: DataFrame, column: str, low: Column, high: Column) -> DataFrame:
 
 def iqr_filter(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows within k interquartile ranges of the quartiles (exact, linear)."""
-    q = df.agg(F.percentile(column, [0.25, 0.75]).alias("_q"))
+    q = quantiles(df, column, [0.25, 0.75], "_q")
     span = F.col("_q")[1] - F.col("_q")[0]
     return df.crossJoin(F.broadcast(q)).filter(F.col(column).between(F.col("_q")[0] - k * span, F.col("_q")[1] + k * span)).drop("_q")  # one row
 
