@@ -7,10 +7,14 @@ binary search.
 
 A fingerprint is the length, a stride (a power of two that gives 17 to 32
 anchors), the prefix hash at every multiple of the stride from the front and
-from the back, and the hash of the whole text.  Two fingerprints are compared
-like the arrays they were taken from: binary search finds the last equal anchor
-from the front and from the back, and the likeness is the share of the longer
-text that those two common extensions cover.
+from the back, the hash of the whole text, and the hash and length of every span
+of the text.  Spans end where the hash of the last ``WINDOW`` code points says so
+(every ``MEAN`` code points on average, ``LONGEST`` at most), so equal stretches
+of two texts fall into equal spans wherever they lie.  The likeness is the share
+of the longer text that is covered by equal spans, each counted as often as both
+texts have it, or by the common beginning and end if these cover more (binary
+search finds the last equal anchors).  All spans of a text are kept, so the
+fingerprint grows with the text.
 
 Order of documents: descending doc_id, null last, ties by the text's hash; the
 next document of the last one is the first.  Ranges of doc_id are dealt to
@@ -36,20 +40,21 @@ from .storage import partitions
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 ANCHORS = 32
+WINDOW, MEAN, LONGEST = 6, 16, 128
 #: Ranges of doc_id for each partition: several, so that the hash that deals them evens out.
 RANGES = 8
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(k: int, n: int) -> np.ndarray:
-    """B**0 .. B**(n-1) of the k-th prime, grown by doubling."""
-    have = _powers.get(k, np.ones(1, np.uint64))
+def powers(k: int, n: int, sign: int = 1) -> np.ndarray:
+    """B**0 .. B**(sign * (n-1)) of the k-th prime, grown by doubling."""
+    have = _powers.get((k, sign), np.ones(1, np.uint64))
     p = np.uint64(PRIMES[k])
     while len(have) < n:
-        step = np.uint64(pow(BASES[k], len(have), PRIMES[k]))
+        step = np.uint64(pow(BASES[k], sign * len(have), PRIMES[k]))
         have = np.concatenate([have, have * step % p])
-    _powers[k] = have
+    _powers[k, sign] = have
     return have[:n]
 
 
@@ -71,6 +76,11 @@ class PrefixHash:
     def whole(self) -> int:
         return int(self.at(0, self.n)) << 31 | int(self.at(1, self.n))
 
+    def spans(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of self[start:end], the same wherever the span lies."""
+        p = np.uint64(PRIMES[k])
+        return (self.sums[k][end] - self.sums[k][start]) % p * powers(k, self.n + 1, -1)[start] % p
+
     def equal(self, other: PrefixHash, i: int, j: int, length: int) -> bool:
         """self[i:i+length] == other[j:j+length]"""
         if i + length > self.n or j + length > other.n:
@@ -95,6 +105,18 @@ def stride_of(n: int) -> int:
     return 1 << max(0, (max(n, 1) - 1).bit_length() - ANCHORS.bit_length() + 1)
 
 
+def span_ends(text: PrefixHash) -> np.ndarray:
+    """Ends of the spans of a text, the last one its own end."""
+    if not text.n:
+        return np.zeros(0, np.int64)
+    end = np.arange(WINDOW, text.n)
+    ends = np.append(end[text.spans(1, end - WINDOW, end) % np.uint64(MEAN) == 0], text.n)
+    start = np.append(0, ends[:-1])
+    more = (ends - start - 1) // LONGEST  # further cuts of an overlong span
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return np.sort(np.append(ends, np.repeat(start, more) + step * LONGEST))
+
+
 class Fingerprint:
     def __init__(self, text: str):
         points = code_points(text)
@@ -103,9 +125,12 @@ class Fingerprint:
         where = np.arange(self.stride, self.n + 1, self.stride)
         self.front, self.back = front.at(0, where), back.at(0, where)
         self.code = f"{front.whole():016x}"
+        ends = span_ends(front)
+        starts = np.append(0, ends)[:-1]
+        self.spans, self.lengths = front.spans(0, starts, ends), (ends - starts).astype(np.uint64)
 
     def __str__(self) -> str:
-        return f"{self.n}-{self.stride}-{self.code}-" + "-".join(x.astype(">u4").tobytes().hex() for x in (self.front, self.back))
+        return f"{self.n}-{self.stride}-{self.code}-" + "-".join(x.astype(">u4").tobytes().hex() for x in (self.front, self.back, self.spans)) + "-" + self.lengths.astype("u1").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.n, self.code) == (other.n, other.code):
@@ -121,15 +146,22 @@ class Fingerprint:
                 mid = (low + high + 1) // 2
                 low, high = (mid, high) if mine[mid - 1] == theirs[mid - 1] else (low, mid - 1)
             common += low * stride
-        return min(common, self.n, other.n) / max(self.n, other.n)
+        return min(max(common, self.equal_spans(other)), self.n, other.n) / max(self.n, other.n)
+
+    def equal_spans(self, other: Fingerprint) -> int:
+        """Code points in equal spans, each counted as often as both have it."""
+        (mine, often), (theirs, others) = (np.unique(x.lengths << np.uint64(32) | x.spans, return_counts=True) for x in (self, other))
+        both, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+        return int(((both >> np.uint64(32)).astype(np.int64) * np.minimum(often[i], others[j])).sum())
 
 
 def parse(code: str) -> Fingerprint:
     """A fingerprint from its string."""
     out = Fingerprint.__new__(Fingerprint)
-    n, stride, out.code, front, back = code.split("-")
+    n, stride, out.code, front, back, spans, lengths = code.split("-")
     out.n, out.stride = int(n), int(stride)
-    out.front, out.back = (np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint64) for x in (front, back))
+    out.front, out.back, out.spans = (np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint64) for x in (front, back, spans))
+    out.lengths = np.frombuffer(bytes.fromhex(lengths), "u1").astype(np.uint64)
     return out
 
 

@@ -204,6 +204,23 @@ def test_likeness_of_edits():
     assert fingerprints.parse(str(mark(text))).likeness(mark(text)) == 1
 
 
+@pytest.mark.parametrize("n", [300, 1000, 5000, 70_000])
+def test_likeness_between_edits_near_both_ends(n):
+    text = "".join(np.random.default_rng(n).choice(list("abcdefgh "), n))
+    near = text[: n // 20] + "XYZ" + text[n // 20 : -n // 20] + "Q" + text[-n // 20 :]
+    mark = fingerprints.Fingerprint
+    assert mark(text).likeness(mark(near)) == mark(near).likeness(mark(text)) == fingerprints.parse(str(mark(text))).likeness(fingerprints.parse(str(mark(near)))) > 0.75
+    assert mark(text).likeness(mark(text[n // 2 :] + text[: n // 2])) > 0.75
+
+
+@pytest.mark.parametrize("text", ["a", "abcdef", "abcdefg", "x" * 1000, "ab" * 700, "one line\n" * 300, LONG])
+def test_spans_cover_the_text(text):
+    ends = fingerprints.span_ends(fingerprints.PrefixHash(fingerprints.code_points(text)))
+    lengths = np.diff(ends, prepend=0)
+    assert ends[-1] == len(text) and lengths.min() > 0 and lengths.max() <= fingerprints.LONGEST
+    assert lengths.tolist() == fingerprints.parse(str(fingerprints.Fingerprint(text))).lengths.tolist()
+
+
 def base_spans(text):
     digits = lambda t: re.sub("[^0-9]", "", t)
 
