@@ -240,7 +240,7 @@ def diurnal_residual(s, d):
     SELECT w.event_id, min_by(r.row_id, (abs(r.t_ms - w.t_ms), r.t_ms, r.row_id)) AS row_id FROM w CROSS JOIN r GROUP BY w.event_id""")
 def waypoint_lookup(s, d):
     track = views.track(s, d)
-    points = track.filter("event_type = 'signup' AND event_id % 10 = 0").select("event_id", "t_ms")
+    points = track.filter("event_type = 'signup'").select("event_id", "t_ms")
     return asof.waypoint_rows(points, track.filter("event_type = 'error'").select("t_ms", F.col("event_id").alias("row_id"))).select("event_id", "row_id")
 
 
