@@ -747,8 +747,8 @@ def layer_names(s, d):
 
 @query(sql("layers", "SELECT position, CAST(row_number() OVER (ORDER BY z_index, position) AS BIGINT) AS place FROM layers WHERE is_visible AND position < 1000"))
 def visible_order(s, d):
-    shown = layers.visible(views.layers(s, d).filter("position < 1000"))
-    return shown.select("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("z_index", "position")).cast("long").alias("place"))
+    shown = layers.visible(views.layers(s, d)).select("position", "z_index")  # the keys alone, so that both looks at them share one shuffle
+    return tables.with_row_id(shown, ["z_index", "position"]).select("position", (F.col("row_id") + 1).alias("place"))
 
 
 @query(sql("layers", "SELECT source AS group_name, processor AS script, run_id, count(*) AS n_layers FROM layers GROUP BY ROLLUP (source, processor, run_id)"))

@@ -1,6 +1,8 @@
 """Registered queries give all rows of the whole tables, by brute force."""
 
 import duckdb
+import pytest
+
 from stratafield.plans import catalog
 
 
@@ -17,3 +19,10 @@ def test_every_waypoint_has_its_row(spark, sf):
     rows = [(t, i) for i, kind, t in every if kind == "error"]
     want = {(i, min(rows, key=lambda r: (abs(r[0] - t), *r))[1]) for i, kind, t in every if kind == "signup"}
     assert sorted(got(spark, sf, "waypoint_lookup")) == sorted(want)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_all_visible_layers_are_numbered(spark, sf, scale):
+    sf = sf.replace("sf0.001", scale)
+    keys = sorted((k % 7, k) for (k,) in read(sf, "SELECT o_orderkey FROM '{sf}/orders.parquet'") if k % 3)
+    assert sorted(got(spark, sf, "visible_order")) == sorted((k, n) for n, (_, k) in enumerate(keys, 1))
