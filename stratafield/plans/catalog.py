@@ -629,9 +629,9 @@ def nearest_grid(s, d):
 
 @query(_POINTS + f", {_NODES}" + """ SELECT count(*) AS n FROM nodes, (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS e FROM points) WHERE x BETWEEN a AND b AND y BETWEEN c AND e AND iy BETWEEN 5 AND 30 AND ix BETWEEN 5 AND 30""")
 def hull_mask(s, d):
-    """Inner nodes all lie within the hull of the points."""
+    """Every node with whether it lies on or inside the hull of the points."""
     nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
-    return nodes.filter("iy BETWEEN 5 AND 30 AND ix BETWEEN 5 AND 30").filter(grid.inside_hull(grid.hull_points(views.points(s, d)))).agg(F.count("*").alias("n"))
+    return nodes.select("iy", "ix", grid.inside_hull(grid.hull_points(views.points(s, d))).alias("inside"))
 
 
 _CELLS = "segment AS grid_id, trace_no AS iy, k AS ix"

@@ -1,6 +1,7 @@
 """Registered queries give all rows of the whole tables, by brute force."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from stratafield.plans import catalog
@@ -26,3 +27,13 @@ def test_all_visible_layers_are_numbered(spark, sf, scale):
     sf = sf.replace("sf0.001", scale)
     keys = sorted((k % 7, k) for (k,) in read(sf, "SELECT o_orderkey FROM '{sf}/orders.parquet'") if k % 3)
     assert sorted(got(spark, sf, "visible_order")) == sorted((k, n) for n, (_, k) in enumerate(keys, 1))
+
+
+def test_hull_mask_of_all_nodes(spark, sf):
+    p = np.array(read(sf, "SELECT c_custkey * 7919 % 1000 / 1000, c_custkey * 104729 % 1000 / 1000 FROM '{sf}/customer.parquet'"))
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    ways = side(p[:, None, None], p[None, :, None], p[None, None])
+    edges = [(p[i], p[j]) for i, j in np.argwhere((ways >= -1e-12).all(2)) if (p[i] != p[j]).any()]
+    want = {(iy, ix, all(side(a, b, np.array([ix / 39, iy / 39])) >= -1e-12 for a, b in edges)) for iy in range(40) for ix in range(40)}
+    assert set(got(spark, sf, "hull_mask")) == want
+    assert {inside for _, _, inside in want} == {True, False}
