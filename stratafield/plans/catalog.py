@@ -360,7 +360,9 @@ def bounds(s, d):
 
 @query(sql("track", f"SELECT {r6('min(a)')} AS min_x, {r6('max(b)')} AS max_x FROM (SELECT min(easting) AS a, max(easting) AS b FROM track WHERE line_id % 2 = 0 GROUP BY line_id)"))
 def visible_bounds(s, d):
-    each = tables.bounds(views.track(s, d).filter("line_id % 2 = 0"), "easting", "northing", ["line_id"])
+    """Extent of the lines whose layer is visible."""
+    shown = views.layers(s, d).filter("is_visible").select(F.col("position").alias("line_id"))
+    each = tables.bounds(views.track(s, d), "easting", "northing", ["line_id"]).join(shown, "line_id", "left_semi")
     return each.agg(F.round(F.min("min_x"), 6).alias("min_x"), F.round(F.max("max_x"), 6).alias("max_x"))
 
 

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from stratafield.plans import catalog
+from stratafield.plans import catalog, views
 
 
 def got(spark, sf, name):
@@ -37,3 +37,12 @@ def test_hull_mask_of_all_nodes(spark, sf):
     want = {(iy, ix, all(side(a, b, np.array([ix / 39, iy / 39])) >= -1e-12 for a, b in edges)) for iy in range(40) for ix in range(40)}
     assert set(got(spark, sf, "hull_mask")) == want
     assert {inside for _, _, inside in want} == {True, False}
+
+
+def test_visible_bounds_by_the_layers(spark, sf):
+    lines = read(sf, """SELECT user_id, min(500000 + 10 * n + k / 10), max(500000 + 10 * n + k / 10) FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM '{sf}/events.parquet') GROUP BY user_id""")
+    shown = {r["position"] for r in views.layers(spark, sf).collect() if r["is_visible"]}
+    kept = [r for r in lines if r[0] in shown]
+    assert got(spark, sf, "visible_bounds") == [pytest.approx((min(r[1] for r in kept), max(r[2] for r in kept)), abs=1e-5)]
+    assert any(r[0] % 2 for r in kept)
