@@ -47,7 +47,9 @@ def influence(points: DataFrame, x0: float, y0: float, dx: float, dy: float, nx:
 def nearest_points(nodes: DataFrame, points: DataFrame, cell: float, most_rings: int = 24) -> DataFrame:
     """Each node with the nearest point (distance, value; smallest value on
     ties).  Points are hashed to square cells; a node looks at the rings of
-    cells around its own, doubling until nothing nearer can lie outside."""
+    cells around its own, doubling until nothing nearer can lie outside.  Nodes
+    that are not sure within ``most_rings`` go by ``nearest_far``; without any
+    point, distance and value are null."""
     key = lambda v: F.floor(F.col(v) / cell).cast("long")
     hashed = points.select(key("x").alias("cx"), key("y").alias("cy"), F.col("x").alias("px"), F.col("y").alias("py"), "z")
     keys = [c for c in nodes.columns if c not in ("x", "y")]
@@ -55,15 +57,47 @@ def nearest_points(nodes: DataFrame, points: DataFrame, cell: float, most_rings:
     while True:
         reach = F.sequence(F.lit(-ring), F.lit(ring))
         looks = waiting.withColumn("_i", F.explode(reach)).withColumn("_j", F.explode(reach)).withColumns({"cx": key("x") + F.col("_i"), "cy": key("y") + F.col("_j")})
-        met = looks.join(hashed, ["cx", "cy"], "inner")
-        d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-        best = met.groupBy(*keys, "x", "y").agg(F.min(F.struct(d.alias("d"), F.col("z").alias("z"))).alias("b")).select(*keys, "x", "y", "b.d", "b.z")
-        sure = best.filter(F.col("d") <= ring * cell) if ring < most_rings else best
+        best = _best(looks.join(hashed, ["cx", "cy"], "inner"), keys)
+        sure = best.filter(F.col("d") <= ring * cell)
         done = sure if done is None else done.unionByName(sure)
         waiting = waiting.join(sure.select(*keys), keys, "left_anti")
-        if ring >= most_rings or waiting.isEmpty():
+        if waiting.isEmpty():
             return done
+        if ring >= most_rings:
+            break
         ring *= 2
+    far = nearest_far(waiting, hashed, cell)
+    alone = waiting.join(far.select(*keys), keys, "left_anti").select(*keys, "x", "y", F.lit(None).cast("double").alias("d"), F.lit(None).cast(points.schema["z"].dataType).alias("z"))
+    return done.unionByName(far).unionByName(alone)
+
+
+def _best(met: DataFrame, keys: list[str]) -> DataFrame:
+    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    return met.groupBy(*keys, "x", "y").agg(F.min(F.struct(d.alias("d"), F.col("z").alias("z"))).alias("b")).select(*keys, "x", "y", "b.d", "b.z")
+
+
+def nearest_far(nodes: DataFrame, hashed: DataFrame, cell: float, fan: int = 8) -> DataFrame:
+    """``nearest_points`` at any distance: from the few cells that hold all
+    points down to ``cell``, ``fan`` times smaller at each level, a node keeps
+    the occupied cells that can hold its nearest point."""
+    keys = [c for c in nodes.columns if c not in ("x", "y")]
+    occupied = hashed.select("cx", "cy").na.drop().distinct()
+    ends = occupied.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).first()  # one row
+    levels = 0
+    while fan**levels <= max(x or 0 for x in ends):
+        levels += 1
+    up = lambda level, *names: [F.floor(F.col(f"c{a}") / fan**level).cast("long").alias(f"{b}{a}") for b in names for a in "xy"]
+    kept = None
+    for level in range(levels, -1, -1):
+        size = cell * fan**level
+        cells = occupied.select(*up(level, "c"), *up(level + 1, "p")).distinct() if level < levels else occupied.select(*up(level, "c")).distinct()
+        seen = nodes.crossJoin(F.broadcast(cells)) if kept is None else kept.join(cells, ["px", "py"])  # four cells at most
+        low = [F.greatest(F.col(f"c{a}") * size - F.col(a), F.col(a) - (F.col(f"c{a}") + 1) * size, F.lit(0.0)) for a in "xy"]
+        high = [F.greatest(F.abs(F.col(a) - F.col(f"c{a}") * size), F.abs(F.col(a) - (F.col(f"c{a}") + 1) * size)) for a in "xy"]
+        bounds = seen.withColumns({"_low": F.hypot(*low), "_most": F.min(F.hypot(*high)).over(Window.partitionBy(*keys))})
+        # a part in 1e9 more, for points that rounding put into the next cell
+        kept = bounds.filter(F.col("_low") <= F.col("_most") * (1 + 1e-9) + cell * 1e-9).select(*keys, "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    return _best(kept.withColumnsRenamed({"px": "cx", "py": "cy"}).join(hashed, ["cx", "cy"]), keys)
 
 
 def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from stratafield.operators import grid
 from stratafield.plans import catalog, views
 
 
@@ -46,3 +47,17 @@ def test_visible_bounds_by_the_layers(spark, sf):
     kept = [r for r in lines if r[0] in shown]
     assert got(spark, sf, "visible_bounds") == [pytest.approx((min(r[1] for r in kept), max(r[2] for r in kept)), abs=1e-5)]
     assert any(r[0] % 2 for r in kept)
+
+
+@pytest.mark.parametrize("far", [0.2, 40.0])
+def test_nearest_points_at_any_distance(spark, far):
+    rng = np.random.default_rng(3)
+    points = np.round(np.vstack([rng.normal(-far, 0.01, (150, 2)), rng.normal((far, far / 3), 0.01, (150, 2)), [[0.03, 0.01]]]), 4)
+    held = [(float(x), float(y), float(z)) for z, (x, y) in enumerate(points)]
+    nodes = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-far, far, (40, 2)))]
+    places = spark.createDataFrame(nodes, "id long, x double, y double")
+    out = grid.nearest_points(places, spark.createDataFrame(held, "x double, y double, z double"), 0.001, 2).collect()
+    want = {k: min((float(np.hypot(x - px, y - py)), z) for px, py, z in held) for k, x, y in nodes}
+    assert len(out) == len(want) and all((r["d"], r["z"]) == (pytest.approx(want[r["id"]][0], abs=1e-9), want[r["id"]][1]) for r in out)
+    none = grid.nearest_points(places, spark.createDataFrame([], "x double, y double, z double"), 0.001, 2).collect()
+    assert sorted(tuple(r) for r in none) == [(*n, None, None) for n in nodes]
