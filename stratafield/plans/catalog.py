@@ -722,12 +722,18 @@ def cubic_grid(s, d):
 
 @query()
 def mincurve_soft(s, d):
-    return _longs(rounded(grid.minimum_curvature(views.points(s, d), 30, 30, True, 200), "x", "y", "value"))
+    from .scripts import GridParams
+
+    p = GridParams(soft=True)
+    return _longs(rounded(grid.minimum_curvature(views.points(s, d), p.nodes, p.nodes, p.soft, p.iterations), "x", "y", "value"))
 
 
 @query()
 def mincurve_hard(s, d):
-    return _longs(rounded(grid.minimum_curvature(views.points(s, d), 30, 30, False, 200), "x", "y", "value"))
+    from .scripts import GridParams
+
+    p = GridParams(soft=False)
+    return _longs(rounded(grid.minimum_curvature(views.points(s, d), p.nodes, p.nodes, p.soft, p.iterations), "x", "y", "value"))
 
 
 # layers

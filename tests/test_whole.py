@@ -3,9 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratafield.operators import grid
-from stratafield.plans import catalog, views
+from stratafield.plans import catalog, scripts, views
 
 
 def got(spark, sf, name):
@@ -40,15 +41,6 @@ def test_hull_mask_of_all_nodes(spark, sf):
     assert {inside for _, _, inside in want} == {True, False}
 
 
-def test_visible_bounds_by_the_layers(spark, sf):
-    lines = read(sf, """SELECT user_id, min(500000 + 10 * n + k / 10), max(500000 + 10 * n + k / 10) FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k,
-        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM '{sf}/events.parquet') GROUP BY user_id""")
-    shown = {r["position"] for r in views.layers(spark, sf).collect() if r["is_visible"]}
-    kept = [r for r in lines if r[0] in shown]
-    assert got(spark, sf, "visible_bounds") == [pytest.approx((min(r[1] for r in kept), max(r[2] for r in kept)), abs=1e-5)]
-    assert any(r[0] % 2 for r in kept)
-
-
 @pytest.mark.parametrize("far", [0.2, 40.0])
 def test_nearest_points_at_any_distance(spark, far):
     rng = np.random.default_rng(3)
@@ -61,3 +53,20 @@ def test_nearest_points_at_any_distance(spark, far):
     assert len(out) == len(want) and all((r["d"], r["z"]) == (pytest.approx(want[r["id"]][0], abs=1e-9), want[r["id"]][1]) for r in out)
     none = grid.nearest_points(places, spark.createDataFrame([], "x double, y double, z double"), 0.001, 2).collect()
     assert sorted(tuple(r) for r in none) == [(*n, None, None) for n in nodes]
+
+
+def test_visible_bounds_by_the_layers(spark, sf):
+    lines = read(sf, """SELECT user_id, min(500000 + 10 * n + k / 10), max(500000 + 10 * n + k / 10) FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM '{sf}/events.parquet') GROUP BY user_id""")
+    shown = {r["position"] for r in views.layers(spark, sf).collect() if r["is_visible"]}
+    kept = [r for r in lines if r[0] in shown]
+    assert got(spark, sf, "visible_bounds") == [pytest.approx((min(r[1] for r in kept), max(r[2] for r in kept)), abs=1e-5)]
+    assert any(r[0] % 2 for r in kept)
+
+
+@pytest.mark.parametrize("name, soft", [("mincurve_soft", True), ("mincurve_hard", False)])
+def test_curvature_grids_have_the_default_mesh(spark, sf, monkeypatch, name, soft):
+    asked = []
+    monkeypatch.setattr(grid, "minimum_curvature", lambda points, *args: asked.append(args) or views.grid(spark, sf).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}))
+    catalog.queries()[name](spark, sf)
+    assert asked == [(scripts.GridParams.nodes, scripts.GridParams.nodes, soft, scripts.GridParams.iterations)]
