@@ -150,7 +150,7 @@ def from_media(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for some in slices(whole, "media", 8 << 20):
+            for some in slices(whole, "n_bytes", 8 << 20):
                 images = [read_png(x.as_buffer().to_pybytes()) for x in some.column("media")]
                 new = [pa.array([x.tobytes() for x in images], pa.binary()), pa.array([cosine_hash(x) for x in images], pa.string())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *new], ["doc_id", "n_bytes", "media", "payload", "feature"])

@@ -7,8 +7,9 @@ documents link when 100 * intersection >= 75 * union.  Runs are compared by
 
 1. *Blocks.*  A run of documents becomes one row with its words by position.
    The table is bucketed by block, so that later steps move only what they add.
-2. *Classes.*  Documents with equal sets are one node, named by their smallest
-   doc_id: copies meet no join.
+2. *Classes.*  Documents with equal sets are one node, named by the block and
+   place of one of them, never by a doc_id: copies meet no join, and no value of
+   the ids' range has a meaning of its own.
 3. *Rare first.*  Blocks send their distinct n-grams (short hashes, delta
    coded, with counts) to ranges; a range answers each with its document
    frequency.  Where short hashes collide a frequency is only overstated, alike
@@ -20,14 +21,20 @@ documents link when 100 * intersection >= 75 * union.  Runs are compared by
    node; the suffix filter and the exact intersection decide.  Verified links
    are contracted to components.
 6. *Rest.*  Every n-gram whose nodes still lie in several components is joined
-   again: all pairs of nodes from different components that pass the length and
-   positional filters, once each, are verified.  So no link between different
-   components is lost, and a group of near copies never meets pairwise.
+   again: pairs of nodes from different components that pass the length,
+   positional and signature filters, once each, are verified.  The signature is
+   the parity of hashed set members in ``BITS`` bits: the bits in which two of
+   them differ are a lower bound of the members that only one set has.  A
+   frequent n-gram's nodes are dealt to blocks of ``HOT`` nodes, each met by the
+   others on its own, so no task holds all pairs of an n-gram.  So no link between
+   different components is lost, and a group of near copies never meets pairwise.
+7. *Labels.*  A component's id is the smallest doc_id of its documents.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing;
 null doc_ids are kept, their component is null unless an equal or similar
-document has an id; rows that share a doc_id are one node; an empty table gives
-no rows; other columns are ignored.
+document has an id; any long is a valid doc_id; rows that share a doc_id are
+judged one by one, each by its own text; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +47,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from .byte_bpe import squeeze, unsqueeze
 from .components import components
@@ -50,9 +58,16 @@ from .text_batches import give_back, slices, texts
 WORDS = 5
 PERCENT = 75
 BLOCK_BYTES = 8 << 20
+#: Rows of a block are fewer than 2**PLACE_BITS, blocks fewer than 2**(63 - PLACE_BITS).
+PLACE_BITS = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-NO_ID = 1 << 62  # nodes without any doc_id are named from here on
+BITS = 512
+#: Nodes of an n-gram that one task joins with the others at a time.
+HOT = 4096
+#: n-grams that a range of ``answer_frequencies`` holds, on average and at most.
+RANGE_GRAMS = 4_000_000
+SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,9 +109,20 @@ def sets_of(positions: np.ndarray, counts: np.ndarray, hashes: np.ndarray, words
         at += n
 
 
+def row_keys(batch: pa.RecordBatch) -> list[bytes]:
+    """16 bytes per row that follow from its doc_id and text; ``row_key`` in Python."""
+    ids = batch.column("doc_id").to_pylist()
+    return [hashlib.md5(f"{'' if i is None else i}:".encode() + t.as_buffer().to_pybytes(), usedforsecurity=False).digest() for i, t in zip(ids, texts(batch).cast(pa.binary()), strict=True)]
+
+
+def row_key() -> Column:
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(doc_id, F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
+
+
 def build_blocks(docs: DataFrame) -> DataFrame:
     def run(batches):
-        block = TaskContext.get().partitionId() << 20
+        block = TaskContext.get().partitionId() << 20  # of 2**20 blocks each
         for whole in batches:
             for some in slices(whole, most=BLOCK_BYTES):
                 positions, counts, hashes = split_words(texts(some))
@@ -108,12 +134,13 @@ def build_blocks(docs: DataFrame) -> DataFrame:
                     "block": [block],
                     "doc_ids": pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
+                    "keys": pa.array([row_keys(some)], pa.list_(pa.binary())),
                     "signs": pa.array([[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]], pa.list_(pa.binary())),
                     "counts": [squeeze(counts)], "positions": [squeeze(rank[positions])], "hashes": [hashes[order].tobytes()],
                 })
                 block += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, signs array<binary>, counts binary, positions binary, hashes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, keys array<binary>, signs array<binary>, counts binary, positions binary, hashes binary")
 
 
 def _sets(table: pa.Table):
@@ -168,6 +195,12 @@ def answer_frequencies(sent: DataFrame) -> DataFrame:
     return sent.groupBy("range").applyInArrow(run, "block long, range long, classes binary")
 
 
+def signature(grams: np.ndarray) -> list[int]:
+    """Parity of the members that hash to each of ``BITS`` bits."""
+    odd = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     """node, n, grams and their places in the global order, set (sorted hashes)
     of the nodes that share a prefix n-gram's frequency with another."""
@@ -176,7 +209,7 @@ def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int)
 
     def run(mine: pa.Table, right: pa.Table) -> pa.Table:
         give_back()
-        out = {"node": [], "n": [], "grams": [], "at": [], "set": []}
+        out = {k: [] for k in ("node", "n", "grams", "at", "set", *SIGNATURE)}
         parts, places, names = {}, [], []
         for r, data, p, q in zip(*(right.column(c) for c in ("range", "classes", "places", "names")), strict=True):
             if r.as_py() < 0:
@@ -194,13 +227,13 @@ def prefixes(blocks: DataFrame, nodes: DataFrame, answers: DataFrame, bits: int)
                 order = np.argsort(rare, kind="stable")[: n - (PERCENT * n + 99) // 100 + 1]
                 shared = np.flatnonzero(rare[order])
                 if len(shared):
-                    for name, value in zip(out, (node, n, grams[order[shared]].view(np.int64), shared, grams.tobytes()), strict=True):
+                    for name, value in zip(out, (node, n, grams[order[shared]].view(np.int64), shared, grams.tobytes(), *signature(grams)), strict=True):
                         out[name].append(value)
-        kinds = {"node": pa.int64(), "n": pa.int64(), "grams": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "set": pa.binary()}
+        kinds = {"node": pa.int64(), "n": pa.int64(), "grams": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "set": pa.binary(), **dict.fromkeys(SIGNATURE, pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     texts_ = blocks.select("block", "counts", "positions", "hashes")
-    return texts_.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, n long, grams array<long>, at array<int>, set binary")
+    return texts_.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "node long, n long, grams array<long>, at array<int>, set binary, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def _may_link(x: str, y: str) -> str:
@@ -250,61 +283,92 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _unlike(x: str, y: str) -> str:
+    """The signatures leave room for the overlap that a link needs."""
+    need = f"(({PERCENT} * ({x}.n + {y}.n) + {99 + PERCENT}) div {100 + PERCENT})"
+    return f"2 * {need} <= {x}.n + {y}.n - (" + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SIGNATURE) + ")"
+
+
+def _by_gram(nodes: DataFrame, *columns: str) -> DataFrame:
+    rows = nodes.select(*columns, F.explode(F.arrays_zip("grams", "at")).alias("g"))
+    return rows.select(*columns, F.col("g.grams").alias("gram"), F.col("g.at").alias("at"))
+
+
+def meet(rest: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes of ``rest`` (gram, times, node, root, n, at,
+    signature) that may link.  A gram of more than ``hot`` nodes is dealt to
+    blocks of about that many by ``a``; every block is joined on its own."""
+    dealt = rest.withColumn("blocks", F.expr(f"(times + {hot - 1}) div {hot}"))
+    x = dealt.withColumn("salt", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0).cast("long")))
+    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    on = "x.gram = y.gram AND x.salt = y.salt AND x.node > y.node AND x.root != y.root AND " + _may_link("x", "y") + " AND " + _unlike("x", "y")
+    return x.alias("x").join(y.alias("y"), F.expr(on)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def link_nodes(found: DataFrame) -> DataFrame:
     """(node, root) for all nodes with a link, ``found`` as ``prefixes`` gives it."""
-    by_gram = lambda nodes: nodes.select("node", "n", *[c for c in ("root",) if c in nodes.columns], F.explode(F.arrays_zip("grams", "at")).alias("g")).select("*", F.col("g.grams").alias("gram"), F.col("g.at").alias("at")).drop("g")
-    entries = by_gram(found.select("node", "n", "grams", "at"))
+    entries = _by_gram(found, "node", "n")
     hubs = entries.groupBy("gram").agg(F.min(F.struct("node", "n", "at")).alias("h"), F.max("node").alias("last")).filter("last > h.node").select("gram", "h")
     near = entries.alias("x").join(hubs, "gram").filter("x.node != h.node AND " + _may_link("x", "h"))
     first = materialize(near.groupBy(F.col("x.node").alias("a")).agg(F.min("h.node").alias("b")), "pairs")
     links = materialize(verify(first, found), "verified")
     roots = materialize(components(links), "roots")
-    placed = found.select("node", "n", "grams", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = by_gram(placed)
-    open_ = rest.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
-    rest = materialize(rest.join(open_, "gram"), "rest")
-    meet = rest.alias("x").join(rest.alias("y"), F.expr("x.gram = y.gram AND x.node > y.node AND x.root != y.root AND " + _may_link("x", "y")))
-    pairs = materialize(meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    placed = found.drop("set").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = _by_gram(placed, "root").groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("times")).filter("low < high").select("gram", "times")
+    rest = materialize(_by_gram(placed, "node", "n", "root", *SIGNATURE).join(open_, "gram"), "rest")
+    pairs = materialize(meet(rest).join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialize(verify(pairs, found), "verified")
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the row), n_shingles, root (names the component, null
+    without words), component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
     n = partitions(spark)
     blocks = materialize_bucketed(build_blocks(docs), "shingles", "block", n)
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "signs")).alias("place", "d"))
-    rows = rows.select("block", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.signs").alias("sign"))
-    made_up = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("sign"), 2)
-    classes = rows.filter("n > 0").groupBy("sign").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "block", "place")).alias("m"), F.first("n").alias("n"))
-    classes = materialize(classes.select("sign", "n", F.col("m.block").alias("block"), F.col("m.place").cast("long").alias("place"), F.coalesce("m.doc_id", made_up).alias("node")), "classes")
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "keys", "signs")).alias("place", "d"))
+    rows = rows.select("block", F.col("place").cast("long").alias("place"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.keys").alias("key"), F.col("d.signs").alias("sign"))
+    classes = rows.filter("n > 0").groupBy("sign").agg(F.min(F.struct("block", "place")).alias("m"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    classes = materialize(classes.select("sign", "n", "least", F.col("m.block").alias("block"), F.col("m.place").alias("place"), F.expr(f"shiftleft(m.block, {PLACE_BITS}) + m.place").alias("node")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(56, max(16, int(total).bit_length() + 7))
     named = classes.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("p")).select("block", F.col("p.place").alias("places"), F.col("p.node").alias("names"))
     named = materialize(named, "nodes")  # a row is one block's documents
-    answers = answer_frequencies(send_ngrams(blocks, named, bits, 4 * n))
+    answers = answer_frequencies(send_ngrams(blocks, named, bits, max(4 * n, -(-total // RANGE_GRAMS))))
     found = materialize(prefixes(blocks, named, answers, bits), "prefixes")
-    roots = link_nodes(found)
-    rooted = classes.select("sign", "node").join(roots, "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
+    rooted = classes.select("sign", "node", "least").join(link_nodes(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.select("sign", "root").join(linked, "root")
     own = F.to_binary(F.concat_ws(".", "block", "place"), F.lit("utf-8"))  # empty sets: a key of each row's own
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sign")).otherwise(own).alias("sign")).join(rooted, "sign", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < NO_ID, F.col("root"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sign")).otherwise(own).alias("sign")).join(rooted, "sign", "left")
+    return out.select("doc_id", "key", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    return judge(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the row of its smallest
-    doc_id stays; rows without a doc_id and rows without words all stay."""
+    """``docs`` without near copies, decided row by row: of each component one row
+    stays, the one with the smallest doc_id (null last; ties by the key of doc_id
+    and text, then by a hash of the plain columns).  Rows without words, whatever
+    their doc_id, all stay; nothing else goes."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    judged = materialize(near_duplicates(docs.select("doc_id", "text")), "components")
-    gone = judged.filter("doc_id IS NOT NULL AND component_id != doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").select(*own)  # both sides grow with the input
-    kept = named.unionByName(docs.filter("doc_id IS NULL").select(*own))  # no null key in the shuffle
-    again = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    judged = materialize(judge(docs.select("doc_id", "text")).filter("n_shingles > 0").select("doc_id", "key", "root"), "components")
+    best = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    groups = materialize(best.select("root", F.col("best.key").alias("best_key")), "groups")
+    keys = judged.join(groups, "root").select("key", (F.col("key") == F.col("best_key")).alias("stays"))
+    gone = keys.filter("NOT stays").select("key").distinct()
+    row = docs.select(F.struct(*own).alias("row"), "doc_id", "text").select("row", row_key().alias("key"))
+    kept = row.join(gone.hint("merge"), "key", "left_anti")  # both sides grow with the input
+    again = materialize(keys.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "again")
+    back = lambda rows: rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
     if again.isEmpty():
-        return kept
-    single = kept.join(again, "doc_id", "left_anti").select(*own)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id"]))
+        return back(kept)
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return back(kept.join(again, "key", "left_anti")).unionByName(back(one))

@@ -1,7 +1,9 @@
 """Where intermediate tables live: the folder that every executor shares.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where the session
-names none (tests, a laptop) a fresh temporary folder is made and set.
+The folder is the session's ``spark.checkpoint.dir``, else the context's
+checkpoint folder.  Where there is neither, a local master (tests, a laptop) gets
+a fresh temporary folder; any other master is refused, as a folder of the
+driver's machine would be wrong there.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="stratafield-")
         spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 12 << 20
+SLICE_ROWS = (1 << 20) - 1
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
@@ -26,14 +27,16 @@ def give_back() -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most ``most`` text bytes (a longer
-    single row stays whole), so that memory follows the slice and not the batch."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Cut a batch into runs of rows of at most ``most`` bytes of ``column`` (a
+    longer single row stays whole) and at most ``SLICE_ROWS`` rows, so that memory
+    follows the slice and not the batch.  A column of numbers counts as the sizes."""
+    values = batch.column(column)
+    size = pc.fill_null(values if pa.types.is_integer(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     end = np.cumsum(size, dtype=np.int64)
     begin = 0
     while begin < len(size):
         base = end[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(end, base + most, side="right")))
+        stop = min(begin + SLICE_ROWS, max(begin + 1, int(np.searchsorted(end, base + most, side="right"))))
         yield batch.slice(begin, stop - begin)
         begin = stop
         give_back()
