@@ -9,8 +9,10 @@ between a letter a-z and a following ASCII sign other than an apostrophe, where
 the pre-tokenizer cuts anyway.
 
 A batch is split and dictionary-encoded by Arrow, each chunk that this process
-has not met is encoded by the library, and ids are gathered by position.
-Special-token strings inside a text count as ordinary text.
+has not met is encoded by the library, and ids are gathered by position.  Texts
+that the rewrites could change go to the library whole: those with a special
+token's string (the library looks for it before anything else) and those where
+a combining mark follows A-Z (composition comes before lower-casing there).
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ REMEMBERED = 1_200_000
 
 LETTER_SIGN = r"([a-z])([^a-z'\s0-9\x80-\x{10ffff}])"
 
+#: A capital that the normaliser may compose before it lower-cases.
+CAPITAL_MARK = r"[A-Z]\p{M}"
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -38,7 +43,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -64,6 +69,20 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each text."""
+        odd = pc.match_substring_regex(texts, CAPITAL_MARK)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        if not pc.any(odd).as_py():
+            return self._by_chunk(texts)
+        ids, counts = self._by_chunk(pc.if_else(odd, "", texts))
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts.filter(odd).to_pylist(), add_special_tokens=False)]
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, found in zip(where.tolist(), whole, strict=True):
+            parts[i], counts[i] = np.array(found, np.int32), len(found)
+        return np.concatenate(parts), counts
+
+    def _by_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_SIGN, r"\1 \2"), " ")
         coded = parts.flatten().dictionary_encode()
         place = self._places(coded.dictionary)

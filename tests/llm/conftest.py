@@ -6,6 +6,7 @@ ODD = [
     (5, "The same id with another text, first of two."), (5, "The same id with another text, second of two!"), (6, "😀 émoji ñ ß İ ς 漢字 \u00a0 \u2028 end"),
     (7, LONG), (8, "a\u0000b\x1c\x85 mail bob.smith@example.com now, ip 10.0.0.256 and 192.168.1.77"), (-9, "negative id with several words in a row"), (2**63 - 1, "huge id with several words in a row too"),
     (10, "Line one is fine.\nLine two is fine as well.\n\n\n"), (11, "4111 1111 1111 1111 and +1 (415) 555-2671 and 1.2.3.4.5.6.7.8"), (12, "a@b@c.d@e.f.g +12 --- 4111-1111-1111-1111-"),
+    (13, "ends here<|endoftext|><|startoftext|> J\u030c and H\u0331 done"),
 ]
 
 

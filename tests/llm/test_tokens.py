@@ -14,7 +14,6 @@ from tokenizers import Tokenizer
 from stratafield.llm import byte_bpe, packing, queries, token_files
 
 TOKENIZER = Tokenizer.from_file(queries.WORD_BPE)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -126,6 +125,7 @@ def test_random_access(documents, plain, tmp_path):
             ids, mask = token_files.read_row(folder, p["name"], number)
             want = stream[p["base"] + 32 * number : min(p["base"] + 32 * number + 32, p["base"] + p["tokens"])]
             assert ids[mask].tolist() == want.tolist() and ids.dtype == np.uint16
+            assert not ids.flags.owndata and not mask.flags.owndata
 
 
 def test_byte_bpe(spark, sf, plain, odd, empty):
