@@ -4,8 +4,8 @@
    pre-tokens (matches of the split pattern) by position, written as numbers
    into the block's own list of distinct words.
 2. *Words.*  Every block sends each of its distinct words once, gathered by a
-   hash bucket; a bucket encodes each distinct word of the corpus once and
-   answers every block in the block's order.  A word in all documents is thus
+   hash bucket (their number follows the bytes sent); a bucket encodes each
+   distinct word of the corpus once and answers every block in the block's order.  A word in all documents is thus
    one entry per block, never one per occurrence.
 3. *Reassembly.*  A block meets the answers and puts the ids back by position.
    The blocks are a table bucketed by block, so only the answers move.
@@ -35,6 +35,8 @@ from .storage import materialize_bucketed, partitions
 from .text_batches import gather, give_back, repeat_ranges, slices, texts
 
 BLOCK_BYTES = 12 << 20
+#: Compressed words that a bucket gets, on average and at most.
+BUCKET_BYTES = 8 << 20
 #: A space between white space, or between white space and the end.
 INNER_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}] ([\t-\r\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Ids handled at once while decoding.
@@ -203,7 +205,10 @@ def reassemble(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     n = partitions(docs.sparkSession)
     blocks = materialize_bucketed(build_blocks(docs, pattern), "blocks", "block", n)
-    return reassemble(blocks, encode_words(send_words(blocks, buckets or 4 * n), path, pattern))
+    if not buckets:
+        sent = blocks.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+        buckets = max(4 * n, -(-sent // BUCKET_BYTES))
+    return reassemble(blocks, encode_words(send_words(blocks, buckets), path, pattern))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -16,10 +16,11 @@ texts have it, or by the common beginning and end if these cover more (binary
 search finds the last equal anchors).  All spans of a text are kept, so the
 fingerprint grows with the text.
 
-Order of documents: descending doc_id, null last, ties by the text's hash; the
-next document of the last one is the first.  Ranges of doc_id are dealt to
-tasks; a range also gets the first document of the following one, so nothing is
-numbered or gathered globally.
+Order of documents: descending doc_id, null last, ties by the text's hash
+(ascending); the next document of the last one is the first.  Ranges of doc_id,
+and of the hash among rows without an id, are dealt to tasks; a range also gets
+the first document of the following one, so nothing is numbered or gathered
+globally.  The number of ranges follows the bytes of text.
 
 Edge cases: null text is empty; an empty text has a fingerprint of length 0
 that is like itself (1) and unlike all others (0); a single document is its own
@@ -43,6 +44,8 @@ ANCHORS = 32
 WINDOW, MEAN, LONGEST = 6, 16, 128
 #: Ranges of doc_id for each partition: several, so that the hash that deals them evens out.
 RANGES = 8
+#: Text that a partition gets, about.
+PART_BYTES = 64 << 20
 
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -171,31 +174,40 @@ def edited(text: str, following: str) -> str:
 
 
 def _range_of(key, cuts: list[float]):
-    """Number of cuts below the key: two looks at lists of the root's length."""
+    """Number of cuts below the key: two looks at lists of the root's length.
+    The lists are one literal each, however many cuts there are."""
     if not cuts:
         return F.lit(0)
     width = max(1, int(len(cuts) ** 0.5))
     rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    numbers = lambda values: F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+    held = F.from_json(F.lit("[" + ",".join("[" + ",".join(map(repr, r)) + "]" for r in rows) + "]"), "array<array<double>>")
     below = lambda values: F.size(F.filter(values, lambda c: c < key))
-    row = below(F.array(*[F.lit(r[0]) for r in rows]))
-    held = F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    row = below(numbers([r[0] for r in rows]))
     return F.when(row == 0, 0).otherwise((row - 1) * width + below(F.element_at(held, row)))
 
 
-def beside_next(docs: DataFrame, parts: int) -> DataFrame:
+def beside_next(docs: DataFrame, parts: int, ranges: int | None = None) -> DataFrame:
     """Rows (part, doc_id, text, guest) sorted within a part so that each row's
     next document is the row below; guest rows only serve as a last next one."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = RANGES * parts if parts > 1 else 1
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(parts, -(-size["bytes"] // PART_BYTES)) if parts > 1 else 1
+    ranges = ranges or (RANGES * parts if parts > 1 else 1)
     cuts = sorted(set(keyed.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    spread = max(1, -(-ranges * size["nulls"] // max(1, size["rows"])))  # ranges of rows without an id
     low = F.lit(-(2**63))
     part = F.lit(len(cuts)) - _range_of(F.col("doc_id").cast("double"), cuts)  # descending
-    keyed = keyed.select(F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(len(cuts) + 1)).cast("long").alias("part"), F.coalesce("doc_id", low).alias("key"), F.xxhash64("text").alias("tie"), "doc_id", "text")
-    heads = sorted((r["part"], r["key"]) for r in keyed.groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per range
+    tie = F.xxhash64("text")
+    step = 2**64 // spread + 1
+    of_null = F.lit(len(cuts) + 1) + F.floor((tie.cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)")) / F.lit(str(step)).cast("decimal(38,0)"))
+    keyed = keyed.select(F.coalesce(F.when(F.col("doc_id").isNotNull(), part), of_null).cast("long").alias("part"), F.coalesce("doc_id", low).alias("key"), tie.alias("tie"), "doc_id", "text")
+    first = F.struct((-F.col("key").cast("decimal(20,0)")).alias("last_first"), "tie")
+    heads = sorted((r["part"], r["key"], r["tie"]) for r in keyed.groupBy("part").agg(F.min_by(F.struct("key", "tie"), first).alias("h")).select("part", "h.*").collect())  # one row per range
     if not heads:
         return keyed.select("part", "doc_id", "text", F.lit(0).alias("guest"))
-    hosts = docs.sparkSession.createDataFrame([(p, key, heads[i - 1][0]) for i, (p, key) in enumerate(heads)], "part long, key long, host long")
-    guests = keyed.join(F.broadcast(hosts), ["part", "key"]).groupBy("host").agg(F.min_by("text", "tie").alias("text"))
+    hosts = docs.sparkSession.createDataFrame([(p, key, t, heads[i - 1][0]) for i, (p, key, t) in enumerate(heads)], "part long, key long, tie long, host long")
+    guests = keyed.join(F.broadcast(hosts), ["part", "key", "tie"]).groupBy("host").agg(F.first("text").alias("text"))  # one hash, one text; the broadcast has a row per range
     guests = guests.select(F.col("host").alias("part"), low.alias("key"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("guest"))
     rows = keyed.withColumn("guest", F.lit(0)).unionByName(guests).repartition(parts, "part")
     return rows.sortWithinPartitions("part", "guest", F.desc("key"), "tie").select("part", "doc_id", "text", "guest")

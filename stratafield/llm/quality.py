@@ -7,9 +7,11 @@ lines all carry their document's label.  A document's score is the mean of the
 lines' marginals for good (forward-backward), weighted by line length.
 
 The model is fitted on a bounded sample of labelled documents (``sample``
-documents with the smallest hash of doc_id, at most ``train_lines`` first lines
-of each: documented parameters of training alone).  Labels, lang, source and
-doc_id are never features.  Scoring reads whole texts.
+documents with the smallest hash of doc_id, one row each, whole texts: a
+documented parameter of training alone).  Labels, lang, source and doc_id are
+never features.  Scoring reads whole texts; a long text's chain is run in chunks
+of ``CHUNK`` lines side by side, joined by the chunks' transfer matrices, so time
+is linear in lines without a step per line.
 
 Edge cases: null or empty text is one empty line and gets that line's score;
 null doc_ids are scored and never trained on; repeated rows are scored row by
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from .text_batches import slices, texts
 
 THRESHOLD = 0.3
-SAMPLE = 3000
-TRAIN_LINES = 100
+SAMPLE = 1500
+CHUNK = 128
 
 CLASSES = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "space": " \t\r\v\f", "stop": ".?;:,", "bang": "!", "bar": "|", "sign": "%#*$&@~^{}[]<>=+_/\\`", "quote": "'\"()-"}
 
@@ -121,24 +123,64 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _chunks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of each chunk, and the number of chunks of each text."""
+    each = -(-counts // CHUNK)
+    sizes = np.full(int(each.sum()), CHUNK)
+    sizes[np.cumsum(each) - 1] = counts - (each - 1) * CHUNK
+    return sizes, each
+
+
+def _sweep(node: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Forward scores of all chains: log of the sum over the paths that end in a
+    state at a line, with the line's own score."""
+    sizes, each = _chunks(counts)
+    starts = np.cumsum(sizes) - sizes
+    out = node.copy()
+    if len(sizes) > len(counts):
+        move = np.zeros((len(sizes), 2, 2))  # [state before the chunk, state at its last line]
+        for t, at in enumerate(_layers(sizes)):
+            which = np.searchsorted(starts, at, side="right") - 1
+            move[which] = (edges + node[at][:, None, :]) if t == 0 else _log_sum(move[which][:, :, :, None] + edges[None, None], 2) + node[at][:, None, :]
+        # a text's first chunk has no line before it
+        opening, first = np.cumsum(each) - each, np.zeros((len(sizes), 2))
+        last = np.zeros((len(sizes), 2))
+        alone = _sweep_chunks(node, edges, sizes, starts, None)
+        last[opening] = alone[(starts + sizes - 1)[opening]]
+        for at in list(_layers(each))[1:]:
+            first[at] = last[at - 1]
+            last[at] = _log_sum(last[at - 1][:, :, None] + move[at], 1)
+        entered = np.ones(len(sizes), bool)
+        entered[opening] = False
+        return _sweep_chunks(node, edges, sizes, starts, np.where(entered[:, None], first, np.nan))
+    return _sweep_chunks(out, edges, sizes, starts, None)
+
+
+def _sweep_chunks(node: np.ndarray, edges: np.ndarray, sizes: np.ndarray, starts: np.ndarray, entry: np.ndarray | None) -> np.ndarray:
+    """Forward scores within chunks; ``entry``: scores of the line before a chunk
+    (nan: none)."""
+    out = node.copy()
+    if entry is not None:
+        has = ~np.isnan(entry[:, 0])
+        out[starts[has]] += _log_sum(entry[has][:, :, None] + edges, 1)
+    for at in list(_layers(sizes))[1:]:
+        out[at] += _log_sum(out[at - 1][:, :, None] + edges, 1)
+    return out
+
+
 def marginals(chain: Chain, x: np.ndarray, counts: np.ndarray, pairs: bool = False):
     """Probability of good for every line; with ``pairs`` also the expected
     number of each pair of neighbouring states."""
     node = np.stack([np.zeros(len(x)), x @ chain.weights], axis=1)
-    forward, backward = node.copy(), np.zeros_like(node)
-    layers = list(_layers(counts))
-    for at in layers[1:]:
-        forward[at] += _log_sum(forward[at - 1][:, :, None] + chain.edges, 1)
-    for at in layers[:0:-1]:
-        backward[at - 1] = _log_sum(chain.edges + (node[at] + backward[at])[:, None, :], 2)
+    forward = _sweep(node, chain.edges, counts)
+    backward = _sweep(node[::-1], chain.edges.T, counts[::-1])[::-1] - node
     whole = _log_sum(forward + backward, 1)
     good = np.exp(forward[:, 1] + backward[:, 1] - whole)
     if not pairs:
         return good
-    expected = np.zeros((2, 2))
-    for at in layers[1:]:
-        expected += np.exp(forward[at - 1][:, :, None] + chain.edges + (node[at] + backward[at])[:, None, :] - whole[at][:, None, None]).sum(axis=0)
-    return good, expected
+    at = np.setdiff1d(np.arange(len(x)), np.cumsum(counts) - counts, assume_unique=True)
+    both = forward[at - 1][:, :, None] + chain.edges + (node[at] + backward[at])[:, None, :]
+    return good, np.exp(both - whole[at][:, None, None]).sum(axis=0)
 
 
 def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 3e-4) -> Chain:
@@ -163,7 +205,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: int = TRAIN_LINES) -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
     """The chain, or None where the sample lacks one of the classes."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -173,10 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: i
             for some in slices(whole):
                 x, _, counts = line_features(texts(some))
                 starts = np.cumsum(counts) - counts
-                rows = [x[a : a + min(n, train_lines)].astype("<f4") for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+                rows = [x[a : a + n].astype("<f4") for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "x"])
 
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))  # one row where an id repeats
     rows = sorted(taught.mapInArrow(run, "doc_id long, quality int, x binary").collect())
     labels_of = np.array([r["quality"] for r in rows], int)
     if len(set(labels_of.tolist())) < 2:
