@@ -45,8 +45,8 @@ RULES = [url_filter.Rule(v, t) for v, t in (("block", "com/en/"), ("allow", "exa
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return url_filter.judge_pages(pages.select("page_id", "url", url_filter.noise_outcome(pages["html"]).alias("outcome")), RULES).drop("bad_rate")
+    outcomes = url_filter.page_outcomes(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return url_filter.judge_pages(outcomes, RULES).drop("bad_rate")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,19 +69,35 @@ _LEVEL = """{name} AS (SELECT {keys}, prior * strength + bad AS a, (1 - prior) *
     least(greatest(1 / greatest((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / greatest(sum((n - 1) * prior * (1 - prior)), 1e-9), 1e-3) - 1, 2.0), 1000.0), 2.0) AS strength FROM {rows} WHERE n > 0))"""
 
 
+#: Kind of a text as ``url_filter.kind_of`` tells it.
+_KIND = """CASE WHEN len(regexp_extract_all({t}, '\\S+')) > 0 THEN concat({flags}) END""".replace("{flags}", ", ".join(f"CASE WHEN {c} THEN '1' ELSE '0' END" for c in (
+    f"len(regexp_extract_all({{t}}, '{url_filter.SIGNS}')) > 0.1 * len(regexp_extract_all({{t}}, '\\S+'))", "len(regexp_extract_all({t}, '!!')) > 0.1 * len(regexp_extract_all({t}, '\\S+'))",
+    "length({t}) - length(replace({t}, '|', '')) > 0.1 * len(regexp_extract_all({t}, '\\S+'))", "len(list_distinct(string_split({t}, ' '))) < 0.5 * len(regexp_extract_all({t}, '\\S+'))",
+)))
+
+
+def _kind(text: str) -> str:
+    return _KIND.replace("{t}", text)
+
+
 def _url_sql() -> str:
     rules = sorted(RULES, key=lambda r: (-len(r.text), r.text))
-    fits = [f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{{}}'" for r in rules]
+    fits = [f"WHEN (n.host = '{r.host}' OR n.host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{{}}'" for r in rules]
     case = lambda what: "CASE " + " ".join(f.format(what(r)) for f, r in zip(fits, rules, strict=True))
-    return f"""WITH named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-      CASE WHEN len(regexp_extract_all(body, '\\S+')) > 0 THEN CAST(len(regexp_extract_all(body, '{url_filter.NOISE}')) > 0.1 * len(regexp_extract_all(body, '\\S+')) AS INTEGER) END AS outcome FROM
-      (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, regexp_replace(html, '{url_filter.TAGS}', ' ', 'g') AS body FROM pages)),
-    counts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad FROM named GROUP BY host),
+    last = lambda k: f"array_to_string(list_slice(string_split(name, '.'), -{k}, -1), '.')"
+    long_suffix = f"{last(2)} IN ({', '.join(map(repr, url_filter.SUFFIXES))})"
+    address = "WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN name"
+    return f"""WITH kinds AS (SELECT kind FROM (SELECT quality, {_kind("text")} AS kind FROM documents JOIN labels ON documents.doc_id = labels.doc_id WHERE quality IN (0, 1)) WHERE kind IS NOT NULL GROUP BY kind HAVING 2 * (sum(1 - quality) + 1) > count(*) + 2),
+    named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+      CASE WHEN coalesce(regexp_matches(translate(url, '{url_filter.UPPER}', '{url_filter.LOWER}'), '(^|[^a-z0-9])({'|'.join(url_filter.URL_WORDS)})([^a-z0-9]|$)'), false) THEN 1 WHEN {_kind("body")} IS NOT NULL THEN CAST({_kind("body")} IN (SELECT kind FROM kinds) AS INTEGER) END AS outcome FROM
+      (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, replace(regexp_replace(html, '{url_filter.TAGS}', ' ', 'g'), '&amp;', '&') AS body FROM pages)),
+    counts AS (SELECT host, CASE {address} WHEN {long_suffix} THEN {last(3)} ELSE {last(2)} END AS domain, CASE {address} WHEN {long_suffix} THEN {last(2)} ELSE {last(1)} END AS suffix, n, bad FROM
+      (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad FROM named GROUP BY host)),
     s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS prior FROM counts, (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p FROM counts) GROUP BY suffix), {_LEVEL.format(name="s1", rows="s0", keys="suffix")},
     d0 AS (SELECT d.*, a / (a + b) AS prior FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY ALL) d JOIN s1 ON d.suffix = s1.suffix), {_LEVEL.format(name="d1", rows="d0", keys="domain")},
     h0 AS (SELECT c.*, a / (a + b) AS prior FROM counts c JOIN d1 ON c.domain = d1.domain), {_LEVEL.format(name="h1", rows="h0", keys="host")}
     SELECT page_id, n.host, path, {case(lambda r: r.text)} END AS rule, {case(lambda r: r.verdict)} WHEN a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-    FROM (SELECT *, host AS h FROM named) n LEFT JOIN h1 ON n.h = h1.host""".replace("host = '", "n.host = '").replace("OR host LIKE", "OR n.host LIKE")
+    FROM named n LEFT JOIN h1 ON n.host = h1.host"""
 
 
 NGRAMS = """WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -1,25 +1,33 @@
 """Host reputation by empirical Bayes, under explicit rules (operator 10).
 
 Labelled page outcomes (bad = 1) are counted by host, registered domain (the
-last two names of the host) and suffix (the last name).  Each level's prior is
+public suffix and one name before it) and public suffix.  Each level's prior is
 a beta distribution around the posterior mean of the level above: the share of
 bad pages of all pages sits on top, then suffix, domain and host.  The weight
 of a level's prior is fitted from the spread of the level's rates around their
 parents' means (method of moments, between 2 and 1000 pages).  A host is blocked
 when the lower bound of its posterior bad rate (mean minus ``z`` deviations)
-passes ``limit``.
+passes ``limit``.  User names and ports are no part of a host's name here.
+
+Outcomes are the caller's.  ``page_outcomes`` makes them where pages have no
+labels of their own: the labelled documents tell which kinds of text (``kind_of``:
+share of words with runs of signs or shouting, of bars, of repeated words) are
+mostly bad, and a page is bad when its text is of such a kind or its url holds a
+word of ``URL_WORDS``.
 
 A rule names a host and a path prefix.  It fits that host and its subdomains;
 the longest fitting rule decides and the reputation is not asked.
 
-Only counts per host leave the pages: hosts with more than a 1/``HOT`` share of
-all pages (at most ``HOT`` of them, whatever the input) are joined by broadcast,
-the others by a shuffle that hot hosts' rows take part in under spread keys.
+Only counts per host leave the pages.  Every join with a table of hosts, domains
+or suffixes is ``look_up``: keys with more than a 1/``HOT`` share of the rows (at
+most ``HOT`` of them, whatever the input) are broadcast, the others shuffled; the
+hot keys' rows take part in that shuffle under spread keys.
 
 Edge cases: a null url or one without ``://`` has empty host and path, no rule,
 and is judged like a host of its own named ''; a page without an outcome counts
-for nothing; repeated rows count and are returned row by row; an empty table
-gives no rows; other columns are ignored.
+for nothing; a page without words has no outcome but by its url; without labels
+all kinds of text are good; repeated rows count and are returned row by row; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +41,15 @@ from .storage import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 1000
 TAGS = "(?s)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>"
-NOISE = "([%*#$&]{3}|!!)(\\s|$)"
+SIGNS = "[%*#$&]{3}(\\s|$)"
+
+#: Words that speak against a page wherever its url holds them, and public
+#: suffixes of two names (fixed values).
+URL_WORDS = "ads adult bet bets betting bingo casino escort escorts gambling jackpot lottery pills pharma poker porn porno sex slots spam viagra warez xxx".split()
+SUFFIXES = """ac.at ac.il ac.in ac.jp ac.kr ac.nz ac.uk ac.za co.at co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.bd com.br com.cn com.co
+com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pk com.pl com.sa com.sg com.tr com.tw com.ua com.vn edu.au edu.cn edu.in edu.pl edu.tw gen.tr go.jp go.kr gob.ar gob.mx
+gov.au gov.br gov.cn gov.in gov.uk gov.za in.ua kiev.ua ltd.uk me.uk ne.jp net.au net.br net.cn net.in net.nz net.pl net.uk nhs.uk or.at or.jp or.kr org.ar org.au org.br
+org.cn org.in org.mx org.nz org.pl org.tr org.tw org.uk org.za plc.uk police.uk sch.uk waw.pl web.id blogspot.com github.io wordpress.com""".split()
 
 
 @dataclass(frozen=True)
@@ -69,19 +85,65 @@ def rule_of(rules: list[Rule]) -> tuple[Column, Column]:
     return text, verdict
 
 
-def noise_outcome(html: Column) -> Column:
-    """A page's outcome without human labels: bad (1) when over a tenth of the
-    words outside tags end in a run of signs or are shouted."""
-    text = F.regexp_replace(html, TAGS, " ")
+def kind_of(text: Column) -> Column:
+    """Kind of a text as four flags, null without words."""
     words = F.regexp_count(text, F.lit("\\S+"))
-    noise = F.regexp_count(text, F.lit(NOISE))
-    return F.when(words > 0, (noise > 0.1 * words).cast("int"))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    distinct = F.size(F.array_distinct(F.split(text, " ")))
+    flags = [F.regexp_count(text, F.lit(SIGNS)) > 0.1 * words, F.regexp_count(text, F.lit("!!")) > 0.1 * words, bars > 0.1 * words, distinct < 0.5 * words]
+    return F.when(words > 0, F.concat(*[F.when(f, "1").otherwise("0") for f in flags]))
+
+
+def bad_kinds(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """kind: kinds of text of which labelled documents are mostly bad (16 rows at most)."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    kinds = docs.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").select("quality", kind_of(F.col("text")).alias("kind")).filter("kind IS NOT NULL")
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad")).filter("2 * (bad + 1) > n + 2").select("kind")
+
+
+def page_text(html: Column) -> Column:
+    return F.replace(F.regexp_replace(html, TAGS, " "), F.lit("&amp;"), F.lit("&"))
+
+
+def named_badly(url: Column) -> Column:
+    return F.coalesce(F.translate(url, UPPER, LOWER).rlike(f"(^|[^a-z0-9])({'|'.join(URL_WORDS)})([^a-z0-9]|$)"), F.lit(False))
+
+
+def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, url, outcome of pages (page_id, url, html)."""
+    bad = bad_kinds(docs, labels).agg(F.collect_list("kind").alias("bad_kinds"))  # one row of 16 kinds at most
+    kinds = pages.select("page_id", "url", kind_of(page_text(F.col("html"))).alias("kind")).crossJoin(F.broadcast(bad))
+    return kinds.select("page_id", "url", F.when(named_badly(F.col("url")), 1).when(F.col("kind").isNotNull(), F.array_contains("bad_kinds", F.col("kind")).cast("int")).alias("outcome"))
+
+
+def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+    """Public suffix and registered domain of a host; of an address the address."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    long_suffix = F.substring_index(name, ".", -2).isin(SUFFIXES)
+    address = name.rlike("^[0-9.]+$") | name.startswith("[")
+    part = lambda short, long: F.when(address, name).when(long_suffix, F.substring_index(name, ".", long)).otherwise(F.substring_index(name, ".", short))
+    return part(-1, -2), part(-2, -3)
 
 
 def host_counts(pages: DataFrame) -> DataFrame:
-    """host, domain, suffix, n, bad."""
+    """host, domain, suffix, n, bad, rows."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("bad"), F.count(F.lit(1)).alias("rows"))
-    return hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    suffix, domain = suffix_and_domain(F.col("host"))
+    return hosts.withColumns({"domain": domain, "suffix": suffix})
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, times: str, spread: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (one row per ``key``, ``times``
+    rows of ``rows`` each): a left join whose hot keys need no shuffle.  ``spread``:
+    columns by which the rows of hot keys are dealt."""
+    values = [c for c in table.columns if c not in (key, times)]
+    total = table.agg(F.sum(times).alias("_total"))
+    split = table.crossJoin(F.broadcast(total)).withColumn("_is_hot", F.col(times) * HOT > F.col("_total"))  # one row
+    hot = split.filter("_is_hot").select(key, F.struct(*values).alias("_hot"))  # HOT rows at most
+    cold = split.filter("NOT _is_hot").select(F.concat(F.lit("="), F.col(key)).alias("_key"), F.struct(*values).alias("_cold"))
+    dealt = F.when(F.col("_hot").isNotNull(), F.concat(F.lit("/"), F.xxhash64(*spread).cast("string"))).otherwise(F.concat(F.lit("="), F.col(key)))
+    found = rows.join(F.broadcast(hot), key, "left").withColumn("_key", dealt).join(cold, "_key", "left")
+    return found.withColumn("_value", F.coalesce("_hot", "_cold")).select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
 def _weight(rates: DataFrame) -> Column:
@@ -102,24 +164,19 @@ def reputations(counts: DataFrame) -> DataFrame:
         b = (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")
         return rows.crossJoin(F.broadcast(strength)).withColumns({"mean": a / (a + b), "deviation": F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))})  # one row
 
-    up = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(top))  # one row
-    suffixes = level(up, "suffix").select("suffix", F.col("mean").alias("prior"))
-    mid = counts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = level(mid, "domain").select("domain", F.col("mean").alias("prior"))
-    return level(counts.join(domains, "domain"), "host").select("host", "rows", "mean", "deviation")
+    mid = materialize(counts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("hosts")), "domains")
+    up = mid.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("times")).crossJoin(F.broadcast(top))  # one row
+    suffixes = materialize(level(up, "suffix").select("suffix", "times", F.col("mean").alias("prior")), "suffixes")
+    domains = level(look_up(mid, suffixes, "suffix", "times", ["domain"]), "domain").select("domain", F.col("hosts").alias("times"), F.col("mean").alias("prior"))
+    known = level(look_up(counts, materialize(domains, "priors"), "domain", "times", ["host"]), "host")
+    return known.select("host", "rows", "mean", "deviation")
 
 
 def judge_pages(pages: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate of pages (page_id, url, outcome)."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "outcome")
     counts = materialize(host_counts(named), "hosts")  # outcomes are read off the pages once
-    known = reputations(counts).select(F.col("host").alias("known_host"), "rows", F.col("mean").alias("bad_rate"), (F.col("mean") - z * F.col("deviation") > limit).alias("bad_host"))
-    total = counts.agg(F.sum("rows").alias("total"))
-    known = known.crossJoin(F.broadcast(total)).withColumn("hot", F.col("rows") * HOT > F.col("total"))  # one row
-    hot = known.filter("hot").select(F.col("known_host").alias("host"), F.col("bad_host").alias("hot_bad"), F.col("bad_rate").alias("hot_rate"))
-    cold = known.filter(~F.col("hot")).select(F.col("known_host").alias("key"), "bad_host", "bad_rate")
+    known = reputations(counts).select("host", "rows", F.col("mean").alias("bad_rate"), (F.col("mean") - z * F.col("deviation") > limit).alias("bad"))
     rule, verdict = rule_of(rules)
-    first = named.drop("outcome").join(F.broadcast(hot), "host", "left")
-    first = first.withColumn("key", F.when(F.col("hot_bad").isNotNull(), F.concat(F.lit("//"), F.xxhash64("page_id", "path").cast("string"))).otherwise(F.col("host")))
-    judged = first.join(cold, "key", "left").withColumn("bad", F.coalesce("hot_bad", "bad_host", F.lit(False)))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), F.lit("block")).otherwise("allow")).alias("verdict"), F.coalesce("hot_rate", "bad_rate").alias("bad_rate"))
+    judged = look_up(named.drop("outcome"), materialize(known, "reputations"), "host", "rows", ["page_id", "path"])
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), F.lit("block")).otherwise("allow")).alias("verdict"), "bad_rate")

@@ -448,10 +448,39 @@ def test_bad_hosts_are_blocked(spark):
     assert out[900][1] > out[101][1]
 
 
+def test_names_of_hosts(spark):
+    hosts = {"www.a.co.uk": ("co.uk", "a.co.uk"), "a.b.example.com": ("com", "example.com"), "x.com:8080": ("com", "x.com"), "me:pw@y.org:1": ("org", "y.org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "[::1]:80": ("[::1]", "[::1]"), "local": ("local", "local")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", *[c.alias(k) for k, c in zip("sd", url_filter.suffix_and_domain(F.col("host")), strict=True)]).collect()}
+    assert got == hosts
+
+
+def test_look_up_of_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("key"), F.col("id").alias("n"))
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("least")).filter("key != 'k7'")
+    got = {r["n"]: (r["key"], r["least"]) for r in url_filter.look_up(rows, table, "key", "times", ["n"]).collect()}
+    least = {r["key"]: r["least"] for r in table.collect()}
+    assert len(got) == 5000 and all(v == least.get(k) for k, v in got.values())
+
+
+def test_verdicts_on_pages_held_out(spark):
+    """A host's other pages tell which of its held-out pages are bad."""
+    tables = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "documents", "labels")]
+    outcomes = url_filter.page_outcomes(*tables).cache()
+    held = F.crc32(F.col("page_id").cast("string")) % 5 == 0
+    seen = outcomes.withColumn("outcome", F.when(~held, F.col("outcome")))
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(seen, []).collect()}
+    rows = [(verdict[r["page_id"]] == "block", r["outcome"] == 1, bool(re.search("ads-|adult|casino|pills|bets|spam", r["url"]))) for r in outcomes.filter(held).collect()]
+    blocked, bad, spam = (sum(r[k] for r in rows) for k in range(3))
+    precision, recall, of_spam = sum(b and o for b, o, _ in rows) / blocked, sum(b and o for b, o, _ in rows) / bad, sum(b and s for b, _, s in rows) / spam
+    print(f"held out: {len(rows)} pages, {bad} bad, {blocked} blocked, precision {precision:.3f}, recall {recall:.3f}, of badly named hosts {of_spam:.3f}")
+    assert precision > 0.95 and recall > 0.2 and of_spam > 0.9
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     held = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         held.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     found = held.execute(queries.oracle_sql()[name])
