@@ -176,6 +176,51 @@ def test_secret_kinds(spark):
     assert found == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0}
 
 
+def held_out_findings():
+    """Texts of other shapes than the training templates: (text, value, is a secret)."""
+    rng = np.random.default_rng(77)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    hexes, alnum, loud = "0123456789abcdef", letters + "0123456789", letters + "0123456789@#!%&*?"
+    out = []
+    for k in range(40):
+        uuid = "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12))
+        true = [
+            ("{\"client_secret\": \"%s\"}", uuid), ("AWS_SECRET_ACCESS_KEY=%s\n", draw(alnum, 40)), ("mysql://root:%s@db.local/shop", draw(loud.replace("@", ""), 11) + "7"),
+            ("<add key=\"ApiKey\" value=\"\"/> apikey: %s", draw(alnum, 24)), ("export GITHUB_TOKEN=%s", "ghp_" + draw(alnum, 36)), ("db.password=%s\nnext=1", draw(letters, 5).title() + draw("0123456789", 3) + "!"),
+            ("login: admin / pwd: %s please", draw(loud, 12) + "3"), ("\"auth_token\" => '%s'", draw(hexes, 48)),
+        ]
+        false = [
+            ("commit %s fixes it", draw(hexes, 40)), ("trace id %s was logged", uuid), ("password: %s below", rng.choice(["see", "shown", "printed", "given"])), ("token: %s; name: x", rng.choice(["string", "String", "text", "required"])),
+            ("secret = %s", rng.choice(["None", "null", "false", "''"])), ("passwd=%s", "${%s}" % draw(letters, 6).upper()), ("images/%s/a.png", "/".join(draw(letters[:26], 6) for _ in range(4)) + "2024"), ("order %s shipped", draw("0123456789", 18)),
+            ("api_key = %s", rng.choice(["<your-key>", "YOUR_API_KEY", "changeme", "********", "os.getenv('K')"])), ("The token : %s of the realm", rng.choice(["sign", "word", "ring", "coins"])),
+        ]
+        out += [(shape % value, value, True) for shape, value in true] + [(shape % value, value, False) for shape, value in false]
+    return out
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = held_out_findings()
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: [r["text"][x["start"] : x["end"]] for x in r["findings"]] for r in secrets.scan_documents(df, secrets.fit_forest(secrets.labelled_findings(spark))).collect()}
+    hit = [any(v.strip("'") in x or x in v for x in found[k]) for k, (_, v, _) in enumerate(rows)]
+    true = [s for *_, s in rows]
+    right = sum(h and s for h, s in zip(hit, true, strict=True))
+    print(f"held-out findings: precision {right / sum(map(bool, found.values())):.3f}, recall {right / sum(true):.3f}")
+    print(Counter((re.sub(r"\w{5,}", "W", t)[:30], bool(found[k])) for k, (t, _, s) in enumerate(rows) if bool(found[k]) != s).most_common(12))
+    assert right / sum(map(bool, found.values())) > 0.9 and right / sum(true) > 0.9
+
+
+def test_places_of_many_candidates(spark):
+    """More candidates in a text than are placed together."""
+    rng = np.random.default_rng(4)
+    parts = [f"w{i} token = \"{''.join(rng.choice(list('0123456789abcdef'), 40))}\" é" for i in range(700)]
+    text = "\n".join(parts)
+    row = secrets.secret_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer("(?<=\")[0-9a-f]{40}", text)]
+    assert [tuple(map(int, x.split(":"))) for x in row["secrets"].split(",")] == want and len(want) == 700
+
+
 def test_forest_plan_stays_in_the_jvm(spark, sf):
     plan = queries.op3_secrets(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
