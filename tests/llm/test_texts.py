@@ -412,7 +412,69 @@ def test_weak_supervision_adds_local_phones(spark):
     assert all(rows[i].count("phone") == 2 for i in range(50)) and rows[100] == ""
 
 
+def planted_forms():
+    """Texts with forms beside the base ones, true (kind, span) and look-alikes."""
+    rng = np.random.default_rng(21)
+    num = lambda n: "".join(rng.choice(list("0123456789"), n))
+    names, hosts = ["bob.smith", "anna", "info", "j.doe", "sales7", "maria-l"], ["example", "mail.host", "firm-x"]
+
+    def card(sep):
+        body = "4" + num(14)
+        digits = next(body + str(d) for d in range(10) if personal_data.luhn(body + str(d)))
+        return sep.join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    filler = ["The report was late and nobody minded.", "We went home early.", "Nothing else happened that day,", "all of it was fine."]
+    out = []
+    for k in range(60):
+        u, h, t = names[k % 6], hosts[k % 3], ["com", "org", "net", "de"][k % 4]
+        true = [
+            (0, f"{u} [at] {h} [dot] {t}", "contact me: {}, thanks"), (0, f"{u}(at){h}.{t}", "write to {} for details"), (0, f"{u} at {h.replace('.', ' dot ')} dot {t}", "my e-mail is {} if you need it"),
+            (3, f"({num(3)}) {num(3)}-{num(4)}", "call {} after six"), (3, f"{num(3)}-{num(3)}-{num(4)}", "phone: {} anytime"), (3, "0" + str(rng.integers(1, 9)) + " " + " ".join(num(2) for _ in range(4)), "tel {} today"), (3, f"0049 30 {num(4)} {num(4)}", "mobile {} or write"),
+            (1, ".".join(str(rng.integers(11, 200)) for _ in range(4)).replace(".", "[.]"), "login from {} was seen"), (1, ":".join("%x" % rng.integers(4096, 65535) for _ in range(8)), "server address {} answered"),
+            (2, card("."), "paid with card {} today"), (2, card("  "), "my visa {} expires soon"),
+        ]
+        false = [
+            "see version {}.{}.{}.999 of it".format(*(num(2) for _ in range(3))), f"invoice order no {num(16)} is open", f"section {num(3)}-{num(3)}-{num(4)}% of part no 7", "we looked at the polka dot pattern", f"at {10 + k % 12}:15:30 it rang",
+            f"ISBN 978-{num(1)}-{num(5)}-{num(3)}-{num(1)} in print", "sit at home (at) once", f"ratio 3:4:5 and page {num(4)}.{num(4)}.{num(4)}.{num(2)}", f"serial {num(4)}/{num(4)}/{num(4)}/{num(4)}x",
+        ]
+        for kind, span, frame in true:
+            out.append((f"{rng.choice(filler)} {frame.format(span)} {rng.choice(filler)}", kind, span))
+        out += [(f"{rng.choice(filler)} {x}. {rng.choice(filler)}", None, None) for x in false]
+    return out
+
+
+def test_added_spans_of_planted_forms(spark):
+    rows = planted_forms()
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    right = added = 0
+    missed, wrong = Counter(), Counter()
+    for r in personal_data.find_personal_data(df).collect():
+        text, kind, span = rows[r["doc_id"]]
+        got = [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"] if not s["base"]]
+        want = [(personal_data.KINDS[kind], span)] if span and span not in [text[s["start"] : s["end"]] for s in r["spans"] if s["base"]] else []
+        added, right = added + len(got), right + len(set(got) & set(want))
+        missed.update(re.sub(r"\w+", "w", x[1]) for x in want if x not in got)
+        wrong.update(re.sub(r"[0-9]", "9", x[1])[:20] for x in got if x not in want)
+    true = sum(bool(x) for *_, x in rows)
+    print(f"added spans: {added}, precision {right / added:.3f}, recall {right / true:.3f}; missed {missed.most_common(6)}; wrong {wrong.most_common(6)}")
+    assert right / added > 0.95 and right / true > 0.85
+
+
+def test_candidates_never_overlap_the_base():
+    rng = np.random.default_rng(8)
+    signs = list("0123456789 .()-+[at]:@") + [" [at] ", " dot ", "12.1.1.1", "(415) 555-1234", "bob"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs, 40))
+        found = personal_data.candidates(text)
+        base = [(a, b) for a, _, b, kept in found if kept]
+        for a, k, b, kept in found:
+            assert kept or not any(x < b and a < y for x, y in base)
+            assert kept or sum(j == k and not e and x < b and a < y for x, j, y, e in found) == 1
+
+
 def test_long_digits_are_linear():
+    for text in ("a" * 300_000, "0 " * 200_000, "ab:" * 100_000, "x at " * 80_000, "(at)" * 80_000, "1." * 150_000 + " dot "):
+        personal_data.candidates(text + " dot ")
     assert personal_data.candidates("1" * 400_000 + "." + "9" * 400_000) == []
 
 
