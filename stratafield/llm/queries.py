@@ -69,7 +69,7 @@ _LEVEL = """{name} AS (SELECT {keys}, prior * strength + bad AS a, (1 - prior) *
     least(greatest(1 / greatest((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / greatest(sum((n - 1) * prior * (1 - prior)), 1e-9), 1e-3) - 1, 2.0), 1000.0), 2.0) AS strength FROM {rows} WHERE n > 0))"""
 
 
-#: Kind of a text as ``url_filter.kind_of`` tells it.
+#: Kind of a text as ``url_filter.with_kind`` tells it.
 _KIND = """CASE WHEN len(regexp_extract_all({t}, '\\S+')) > 0 THEN concat({flags}) END""".replace("{flags}", ", ".join(f"CASE WHEN {c} THEN '1' ELSE '0' END" for c in (
     f"len(regexp_extract_all({{t}}, '{url_filter.SIGNS}')) > 0.1 * len(regexp_extract_all({{t}}, '\\S+'))", "len(regexp_extract_all({t}, '!!')) > 0.1 * len(regexp_extract_all({t}, '\\S+'))",
     "length({t}) - length(replace({t}, '|', '')) > 0.1 * len(regexp_extract_all({t}, '\\S+'))", "len(list_distinct(string_split({t}, ' '))) < 0.5 * len(regexp_extract_all({t}, '\\S+'))",
@@ -87,7 +87,7 @@ def _url_sql() -> str:
     last = lambda k: f"array_to_string(list_slice(string_split(name, '.'), -{k}, -1), '.')"
     long_suffix = f"{last(2)} IN ({', '.join(map(repr, url_filter.SUFFIXES))})"
     address = "WHEN regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') THEN name"
-    return f"""WITH kinds AS (SELECT kind FROM (SELECT quality, {_kind("text")} AS kind FROM documents JOIN labels ON documents.doc_id = labels.doc_id WHERE quality IN (0, 1)) WHERE kind IS NOT NULL GROUP BY kind HAVING 2 * (sum(1 - quality) + 1) > count(*) + 2),
+    return f"""WITH kinds AS (SELECT kind FROM (SELECT quality, {_kind("text")} AS kind FROM documents d JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL ORDER BY md5(CAST(doc_id AS VARCHAR)), quality LIMIT {url_filter.SAMPLE}) l ON d.doc_id = l.doc_id) WHERE kind IS NOT NULL GROUP BY kind HAVING 2 * (sum(1 - quality) + 1) > count(*) + 2),
     named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
       CASE WHEN coalesce(regexp_matches(translate(url, '{url_filter.UPPER}', '{url_filter.LOWER}'), '(^|[^a-z0-9])({'|'.join(url_filter.URL_WORDS)})([^a-z0-9]|$)'), false) THEN 1 WHEN {_kind("body")} IS NOT NULL THEN CAST({_kind("body")} IN (SELECT kind FROM kinds) AS INTEGER) END AS outcome FROM
       (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, replace(regexp_replace(html, '{url_filter.TAGS}', ' ', 'g'), '&amp;', '&') AS body FROM pages)),

@@ -10,7 +10,8 @@ when the lower bound of its posterior bad rate (mean minus ``z`` deviations)
 passes ``limit``.  User names and ports are no part of a host's name here.
 
 Outcomes are the caller's.  ``page_outcomes`` makes them where pages have no
-labels of their own: the labelled documents tell which kinds of text (``kind_of``:
+labels of their own: a bounded sample of labelled documents (``sample`` rows with
+the smallest digest of doc_id) tells which kinds of text (``with_kind``:
 share of words with runs of signs or shouting, of bars, of repeated words) are
 mostly bad, and a page is bad when its text is of such a kind or its url holds a
 word of ``URL_WORDS``.
@@ -40,6 +41,7 @@ from .storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 1000
+SAMPLE = 4000
 TAGS = "(?s)<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>"
 SIGNS = "[%*#$&]{3}(\\s|$)"
 
@@ -85,19 +87,22 @@ def rule_of(rules: list[Rule]) -> tuple[Column, Column]:
     return text, verdict
 
 
-def kind_of(text: Column) -> Column:
-    """Kind of a text as four flags, null without words."""
-    words = F.regexp_count(text, F.lit("\\S+"))
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    distinct = F.size(F.array_distinct(F.split(text, " ")))
-    flags = [F.regexp_count(text, F.lit(SIGNS)) > 0.1 * words, F.regexp_count(text, F.lit("!!")) > 0.1 * words, bars > 0.1 * words, distinct < 0.5 * words]
-    return F.when(words > 0, F.concat(*[F.when(f, "1").otherwise("0") for f in flags]))
+def with_kind(rows: DataFrame) -> DataFrame:
+    """``rows`` with the kind of column text, in its place, as four flags; null
+    without words.  Counts are columns of their own, so each is taken once."""
+    rest = [c for c in rows.columns if c != "text"]
+    counts = {"words": F.regexp_count("text", F.lit("\\S+")), "signs": F.regexp_count("text", F.lit(SIGNS)), "shouts": F.regexp_count("text", F.lit("!!")), "distinct": F.size(F.array_distinct(F.split("text", " ")))}
+    bars = F.length("text") - F.length(F.replace(F.col("text"), F.lit("|"), F.lit("")))
+    counted = rows.select(*rest, *[c.alias(k) for k, c in counts.items()], bars.alias("bars"))
+    flags = ["signs > 0.1 * words", "shouts > 0.1 * words", "bars > 0.1 * words", "distinct < 0.5 * words"]
+    return counted.select(*rest, F.when(F.col("words") > 0, F.concat(*[F.when(F.expr(f), "1").otherwise("0") for f in flags])).alias("kind"))
 
 
-def bad_kinds(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def bad_kinds(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """kind: kinds of text of which labelled documents are mostly bad (16 rows at most)."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    kinds = docs.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").select("quality", kind_of(F.col("text")).alias("kind")).filter("kind IS NOT NULL")
+    known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(sample)
+    kinds = with_kind(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")).filter("kind IS NOT NULL")
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad")).filter("2 * (bad + 1) > n + 2").select("kind")
 
 
@@ -111,8 +116,8 @@ def named_badly(url: Column) -> Column:
 
 def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, url, outcome of pages (page_id, url, html)."""
-    bad = bad_kinds(docs, labels).agg(F.collect_list("kind").alias("bad_kinds"))  # one row of 16 kinds at most
-    kinds = pages.select("page_id", "url", kind_of(page_text(F.col("html"))).alias("kind")).crossJoin(F.broadcast(bad))
+    bad = materialize(bad_kinds(docs, labels).agg(F.collect_list("kind").alias("bad_kinds")), "kinds")  # one row of 16 kinds at most
+    kinds = with_kind(pages.select("page_id", "url", page_text(F.col("html")).alias("text"))).crossJoin(F.broadcast(bad))
     return kinds.select("page_id", "url", F.when(named_badly(F.col("url")), 1).when(F.col("kind").isNotNull(), F.array_contains("bad_kinds", F.col("kind")).cast("int")).alias("outcome"))
 
 
