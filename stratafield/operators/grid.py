@@ -117,25 +117,37 @@ def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(half(points) + half(points[::-1]))
 
 
-def hull_points(points: DataFrame) -> np.ndarray:
-    """Hull of a table: every task reduces its rows to their own hull first, so
-    the driver sees hull corners only."""
-
-    def corners(frames):
-        for f in frames:
-            h = hull(f["x"].to_numpy(), f["y"].to_numpy())
-            yield pd.DataFrame(h, columns=["x", "y"])
-
-    found = points.select("x", "y").na.drop().mapInPandas(corners, "x double, y double").toPandas()
-    return hull(found["x"].to_numpy(), found["y"].to_numpy())
-
-
-def inside_hull(corners: np.ndarray) -> Column:
-    """Nodes on or inside the hull, as half-planes."""
-    inside = F.lit(True)
-    for (ax, ay), (bx, by) in zip(corners.tolist(), np.roll(corners, -1, axis=0).tolist(), strict=True):
-        inside = inside & ((bx - ax) * (F.col("y") - ay) - (by - ay) * (F.col("x") - ax) >= -1e-12)
-    return inside
+def hull_points(points: DataFrame, by: str | None = None) -> DataFrame:
+    """One row per value of ``by`` (one row without it) with the hull's corners
+    (array of x, y; counter-clockwise).  A task reduces its rows to one hull per
+    value, only these corners are shuffled."""
+    keyed = points.na.drop(subset=["x", "y"]).select((F.col(by) if by else F.lit(0)).alias("hull_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    kind = keyed.schema["hull_id"].dataType.simpleString()
+
+    def reduce(frames):
+        held: dict = {}
+        for frame in frames:
+            for key, rows in frame.groupby("hull_id"):
+                here = rows[["x", "y"]].to_numpy()
+                here = np.vstack([held[key], here]) if key in held else here
+                held[key] = hull(here[:, 0], here[:, 1])
+        for key, corners in held.items():
+            yield pd.DataFrame({"hull_id": key, "x": corners[:, 0], "y": corners[:, 1]})
+
+    def join(key, rows):
+        corners = hull(rows["x"].to_numpy(), rows["y"].to_numpy())
+        return pd.DataFrame({"hull_id": [key[0]], "corners": [corners.tolist()]})
+
+    found = keyed.mapInPandas(reduce, f"hull_id {kind}, x double, y double").groupBy("hull_id").applyInPandas(join, f"hull_id {kind}, corners array<array<double>>")
+    return found.withColumnRenamed("hull_id", by) if by else found.drop("hull_id")
+
+
+def inside_hull(corners: Column) -> Column:
+    """Whether (x, y) lies in the hull or on its border; true where there is none
+    or it has fewer than three corners."""
+    after = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+    turns = F.zip_with(corners, after, lambda p, q: (q[0] - p[0]) * (F.col("y") - p[1]) - (q[1] - p[1]) * (F.col("x") - p[0]))
+    return F.when(corners.isNull() | (F.size(corners) < 3), True).otherwise(F.forall(turns, lambda t: t >= -1e-12))
 
 
 def masked(grid: DataFrame, mask: Column, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -226,6 +238,12 @@ def _levels(other: str, step: Column) -> tuple[Column, Column]:
 # kernels
 
 
+def spread(table: DataFrame, key: str = "grid_id") -> DataFrame:
+    """Groups dealt to all partitions: a small table of large groups would else
+    be coalesced into one task."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
 def per_grid(grid: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: list[str]) -> DataFrame:
     """Run a kernel over each grid as a dense array (nan where masked or absent)."""
 
@@ -240,7 +258,7 @@ def per_grid(grid: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarra
         return frame
 
     kind = grid.schema["grid_id"].dataType.simpleString()
-    return grid.select("grid_id", "iy", "ix", "value").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, " + ", ".join(f"{c} double" for c in columns))
+    return spread(grid.select("grid_id", "iy", "ix", "value")).groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def vertical_derivative(z: np.ndarray, dx: float, dy: float) -> np.ndarray:
@@ -366,15 +384,34 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return corners[:used][alive]
 
 
+def axes_of(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Axes of a mesh in ascending order; None for places of any other kind."""
+    ax, ay = gx[0], gy[:, 0]
+    even = (gx == ax).all() and (gy == ay[:, None]).all() and (np.diff(ax) > 0).all() and (np.diff(ay) > 0).all()
+    return (ax, ay) if even else None
+
+
+def box(axes: tuple[np.ndarray, np.ndarray] | None, low, high) -> tuple[slice, slice]:
+    """The part of a mesh that a box can touch; all of it without axes."""
+    if axes is None:
+        return slice(None), slice(None)
+    part = lambda a, k: slice(int(np.searchsorted(a, low[k] - 1e-12)), int(np.searchsorted(a, high[k] + 1e-12, side="right")))
+    return part(axes[1], 1), part(axes[0], 0)
+
+
 def linear_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
-    """Barycentric interpolation over the Delaunay triangles, nan outside."""
-    out = np.full(gx.shape, np.nan)
-    for a, b, c in triangulate(x, y):
+    """Barycentric interpolation over the Delaunay triangles, nan outside; a
+    triangle visits the nodes of its own box only."""
+    out, axes = np.full(gx.shape, np.nan), axes_of(gx, gy)
+    for t in triangulate(x, y):
+        a, b, c = t
         d = (y[b] - y[c]) * (x[a] - x[c]) + (x[c] - x[b]) * (y[a] - y[c])
-        u = ((y[b] - y[c]) * (gx - x[c]) + (x[c] - x[b]) * (gy - y[c])) / d
-        v = ((y[c] - y[a]) * (gx - x[c]) + (x[a] - x[c]) * (gy - y[c])) / d
-        hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & np.isnan(out)
-        out[hit] = (u * z[a] + v * z[b] + (1 - u - v) * z[c])[hit]
+        near = box(axes, (x[t].min(), y[t].min()), (x[t].max(), y[t].max()))
+        qx, qy, part = gx[near], gy[near], out[near]
+        u = ((y[b] - y[c]) * (qx - x[c]) + (x[c] - x[b]) * (qy - y[c])) / d
+        v = ((y[c] - y[a]) * (qx - x[c]) + (x[a] - x[c]) * (qy - y[c])) / d
+        hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & np.isnan(part)
+        part[hit] = (u * z[a] + v * z[b] + (1 - u - v) * z[c])[hit]
     return out
 
 
@@ -400,12 +437,14 @@ def cubic_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
     out, triangles = np.full(gx.shape, np.nan), triangulate(x, y)
     if not len(triangles):
         return out
+    axes = axes_of(gx, gy)
     slope, place = vertex_gradients(x, y, z, triangles), np.column_stack([x, y])
     for t in triangles:
         v, f, g = place[t], z[t], slope[t]
         c = v.mean(axis=0)
-        low, high = v.min(axis=0), v.max(axis=0)
-        near = (gx >= low[0] - 1e-12) & (gx <= high[0] + 1e-12) & (gy >= low[1] - 1e-12) & (gy <= high[1] + 1e-12) & np.isnan(out)
+        window = box(axes, v.min(axis=0), v.max(axis=0))
+        part = out[window]
+        near = np.isnan(part)
         if not near.any():
             continue
         toward = lambda i, q: f[i] + g[i] @ (q - v[i]) / 3  # noqa: B023, E731
@@ -421,7 +460,7 @@ def cubic_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
             edges[i, j] = bij, bji, ((first + last) / 2 - wi * bij - wj * bji) / wc
         deep = [(inner[i] + edges[i, (i + 1) % 3][2] + edges[(i + 2) % 3, i][2]) / 3 for i in range(3)]
         middle = sum(deep) / 3
-        qx, qy = gx[near], gy[near]
+        qx, qy = gx[window][near], gy[window][near]
         found = np.full(qx.shape, np.nan)
         for (i, j), (bij, bji, bij1) in edges.items():
             base = np.column_stack([v[j] - v[i], c - v[i]])
@@ -432,7 +471,7 @@ def cubic_grid(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy:
             )
             hit = (li >= -1e-9) & (lj >= -1e-9) & (lc >= -1e-9) & np.isnan(found)
             found[hit] = value[hit]
-        out[near] = np.where(np.isnan(found), out[near], found)
+        part[near] = found
     return out
 
 
@@ -471,7 +510,7 @@ def euler_solutions(grid: DataFrame, dx: float, dy: float, index: float = 3.0, w
         return pd.DataFrame(found, columns=["x", "y", "depth"]).assign(grid_id=cells["grid_id"].iloc[0])[["grid_id", "x", "y", "depth"]]
 
     kind = grid.schema["grid_id"].dataType.simpleString()
-    return grid.select("grid_id", "iy", "ix", "value").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, x double, y double, depth double")
+    return spread(grid.select("grid_id", "iy", "ix", "value")).groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, x double, y double, depth double")
 
 
 def minimum_curvature(points: DataFrame, nx: int, ny: int, soft: bool = True, rounds: int = 1000, pad: float = 0.01) -> DataFrame:
@@ -489,11 +528,13 @@ def minimum_curvature(points: DataFrame, nx: int, ny: int, soft: bool = True, ro
         dx, dy = ax[1] - ax[0], ay[1] - ay[0]
         if soft:
             r = influence_radius(len(x), rx, ry, dx, dy)
-            weight, target = np.zeros(gx.shape), np.zeros(gx.shape)
+            weight, target, axes = np.zeros(gx.shape), np.zeros(gx.shape), axes_of(gx, gy)
             for px, py, pz in zip(x, y, z, strict=True):
-                d = np.hypot(gx - px, gy - py)
+                near = box(axes, (px - r, py - r), (px + r, py + r))
+                d = np.hypot(gx[near] - px, gy[near] - py)
                 w = np.where(d <= r, np.exp(-((d / (0.3 * r)) ** 2)), 0)
-                weight, target = weight + w, target + w * pz
+                weight[near] += w
+                target[near] += w * pz
             out = soft_minimum_curvature(start, weight, np.divide(target, weight, out=np.zeros_like(target), where=weight > 0), z, rounds)
         else:
             known = np.full(gx.shape, np.nan)
@@ -503,7 +544,7 @@ def minimum_curvature(points: DataFrame, nx: int, ny: int, soft: bool = True, ro
         return pd.DataFrame({"grid_id": table["grid_id"].iloc[0], "iy": iy.ravel(), "ix": ix.ravel(), "x": gx.ravel(), "y": gy.ravel(), "value": out.ravel()})
 
     kind = points.schema["grid_id"].dataType.simpleString()
-    return points.select("grid_id", "x", "y", "z").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")
+    return spread(points.select("grid_id", "x", "y", "z")).groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")
 
 
 SCATTER = {"linear": linear_grid, "nearest": nearest_grid, "cubic": cubic_grid}
@@ -525,4 +566,4 @@ def scatter_grid(points: DataFrame, nx: int, ny: int, method: str = "cubic", pad
         return pd.DataFrame({"grid_id": table["grid_id"].iloc[0], "iy": iy.ravel(), "ix": ix.ravel(), "x": gx.ravel(), "y": gy.ravel(), "value": [None if np.isnan(v) else v for v in value]})
 
     kind = points.schema["grid_id"].dataType.simpleString()
-    return points.select("grid_id", "x", "y", "z").groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")
+    return spread(points.select("grid_id", "x", "y", "z")).groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, iy int, ix int, x double, y double, value double")

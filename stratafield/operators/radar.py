@@ -163,27 +163,21 @@ def pick_reflection(traces: DataFrame, sample: int) -> DataFrame:
     return ends.withColumn("reflection", F.slice("samples", F.col("pick_from") + 1, F.col("pick_to") - F.col("pick_from") + 1)).drop("_f")
 
 
-def permittivity(reflectivity: float, top: float = 1.0, low: float = 1.0, high: float = 80.0, limit: float = 0.5) -> float:
-    """Permittivity of the lower layer whose reflectivity misfits least: steps
-    of 0.5 up, then 0.1 and 0.01 up and down from the best value so far, until
-    the misfit is under ``limit`` per cent."""
-    if reflectivity > 1:
-        raise ValueError("reflectivity above 1")
-    steps = [0.5, 0.1, -0.1, 0.01, -0.01]
-    values, errors, k, best = [1.0 if high < 10 else 4.0], [], 0, 0
-    for i in range(500):
-        if not low <= values[i] <= high:
-            break
-        r = abs((top**0.5 - values[i] ** 0.5) / (top**0.5 + values[i] ** 0.5))
-        errors.append(abs(1 - r / reflectivity) * 100)
-        best = i
-        if errors[i] < limit:
-            break
-        if errors[i] > min(errors):
-            best = int(np.argmin(errors))
-            k = min(k + 1, len(steps) - 1)
-        values.append(values[best] + steps[k])
-    return round(values[int(np.argmin(errors))], 2)
+def layer_permittivity(reflectivity: Column, top: float = 1.0, low: float = 1.0, high: float = 80.0, digits: int = 2) -> Column:
+    """Permittivity e of a denser lower layer from r = (sqrt(e) - sqrt(top)) /
+    (sqrt(e) + sqrt(top)), solved for e, held to ``low`` to ``high`` and rounded;
+    null where r is not in 0 to 1."""
+    root = (1 + reflectivity) / (1 - reflectivity)
+    exact = F.when(reflectivity == 1, F.lit(float("inf"))).otherwise(top * root * root)
+    return F.when(reflectivity.between(0, 1), F.round(F.greatest(F.lit(low), F.least(F.lit(high), exact)), digits))
+
+
+def permittivity(reflectivity: float, top: float = 1.0, low: float = 1.0, high: float = 80.0, digits: int = 2) -> float:
+    """``layer_permittivity`` of one number; ValueError where r is not in 0 to 1."""
+    if not 0 <= reflectivity <= 1:
+        raise ValueError("reflectivity outside 0 to 1")
+    exact = np.inf if reflectivity == 1 else top * ((1 + reflectivity) / (1 - reflectivity)) ** 2
+    return round(float(np.clip(exact, low, high)), digits)
 
 
 # kernels on batches of traces

@@ -6,13 +6,21 @@ import re
 
 #: Ordered words per role and detector.
 BASE = {
-    "latitude": "lat latitude y northing utm_northing", "longitude": "lon lng longitude x easting utm_easting",
-    "timestamp": "time timestamp datetime date", "altitude": "alt altitude height z",
-    "magnetic": "mag magnetic btotal field", "gamma": "gamma counts countrate u238", "gpr": "gpr radar amplitude signal",
+    "latitude": ["lat", "latitude", "y", "northing", "utm_northing"],
+    "longitude": ["lon", "lng", "longitude", "x", "easting", "utm_easting"],
+    "timestamp": ["time", "timestamp", "datetime", "date"],
+    "altitude": ["alt", "altitude", "height", "z"],
+    "magnetic": ["mag", "magnetic", "btotal", "field"],
+    "gamma": ["gamma", "counts", "countrate", "u238"],
+    "gpr": ["gpr", "radar", "amplitude", "signal"],
 }
 BANDS = {
-    "blue": "blue b1 band1 450 490", "green": "green b2 band2 520 560", "red": "red b3 band3 630 690",
-    "nir": "nir near_infrared b4 band4 770 860", "swir1": "swir1 shortwave1 b5 band5 1550 1650", "swir2": "swir2 shortwave2 b6 band6 2100 2300",
+    "blue": ["blue", "b1", "band1", "450", "490"],
+    "green": ["green", "b2", "band2", "520", "560"],
+    "red": ["red", "b3", "band3", "630", "690"],
+    "nir": ["nir", "near_infrared", "b4", "band4", "770", "860"],
+    "swir1": ["swir1", "shortwave1", "b5", "band5", "1550", "1650"],
+    "swir2": ["swir2", "shortwave2", "b6", "band6", "2100", "2300"],
 }
 WALK = {
     "timestamp": ["time", "timestamp", "datetime"], "altitude": ["alt", "altitude", "height"],
@@ -26,12 +34,11 @@ def _tokens(name: str) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", name.lower()))
 
 
-def detect(columns: list[str], profile: dict[str, str | list[str]] = BASE, exact: bool = True) -> dict[str, str]:
+def detect(columns: list[str], profile: dict[str, list[str]] = BASE, exact: bool = True) -> dict[str, str]:
     """First column per role that holds a word of it: as a whole token
     (``exact``), or anywhere in the name (the older, eager detectors)."""
     out = {}
     for role, words in profile.items():
-        words = words.split() if isinstance(words, str) else words
         hit = next((c for c in columns if any((w in _tokens(c) or w == c.lower()) if exact else w in c.lower() for w in words)), None)
         if hit is not None:
             out[role] = hit
@@ -50,9 +57,9 @@ def detect_viewer(columns: list[str]) -> dict[str, str]:
     """Map coordinates: of all hits the last one counts, latitude before longitude."""
     out: dict[str, str] = {}
     for c in columns:
-        if any(w in c.lower() for w in BASE["latitude"].split()):
+        if any(w in c.lower() for w in BASE["latitude"]):
             out["latitude"] = c
-        elif any(w in c.lower() for w in BASE["longitude"].split()):
+        elif any(w in c.lower() for w in BASE["longitude"]):
             out["longitude"] = c
     return out
 

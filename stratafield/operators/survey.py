@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import grid
+from .frozen import frozen
 from .kinematics import line
 
 
@@ -64,25 +65,44 @@ def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def spacing_threshold(points: DataFrame, cell: float, fallback: float = 0.01) -> float:
-    """Twice the median distance to the nearest other place."""
-    places = points.select("x", "y").distinct()
-    key = lambda c: F.floor(F.col(c) / cell).cast("long")
-    offsets = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = places.withColumn("_i", offsets).withColumn("_j", offsets).select(F.col("x").alias("ax"), F.col("y").alias("ay"), (key("x") + F.col("_i")).alias("cx"), (key("y") + F.col("_j")).alias("cy"))
-    b = places.select("x", "y", key("x").alias("cx"), key("y").alias("cy"))
-    d = F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))
-    near = a.join(b, ["cx", "cy"]).filter(d > 0).groupBy("ax", "ay").agg(F.min(d).alias("d"))
+    """Twice the median distance to the nearest other place, at whatever distance
+    that lies; ``cell`` is the size of the squares that are searched first."""
+    places = points.select("x", "y").na.drop().distinct()
+    near = _nearest_other(places, cell)
     found = near.agg(F.median("d").alias("m")).first()["m"]
     return fallback if found is None else 2 * found
 
 
+def _nearest_other(places: DataFrame, cell: float) -> DataFrame:
+    """ax, ay, d of every place that has another one: within its own and the
+    neighbour squares, and for those not sure there in squares twice as wide."""
+    done, waiting, size = None, places, cell
+    while True:
+        key = lambda c, size=size: F.floor(F.col(c) / size).cast("long")
+        offsets = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        a = waiting.withColumn("_i", offsets).withColumn("_j", offsets).select(F.col("x").alias("ax"), F.col("y").alias("ay"), (key("x") + F.col("_i")).alias("cx"), (key("y") + F.col("_j")).alias("cy"))
+        b = places.select("x", "y", key("x").alias("cx"), key("y").alias("cy"))
+        d = F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))
+        found = a.join(b, ["cx", "cy"], "left").withColumn("d", F.when(d > 0, d)).groupBy("ax", "ay").agg(F.min("d").alias("d"))
+        found = frozen(found)
+        sure = found.filter(F.col("d") <= size)  # nothing nearer can lie beyond the neighbour squares
+        done = sure if done is None else done.unionByName(sure)
+        waiting = found.filter(F.coalesce(F.col("d") > size, F.lit(True))).select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+        ends = places.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+        if waiting.isEmpty() or ends["n"] < 2 or size > ends["w"] + ends["h"]:
+            return done
+        size *= 2
+
+
 def near_points(nodes: DataFrame, points: DataFrame, distance: float) -> DataFrame:
-    """Nodes within ``distance`` of a point (alpha mask, buffer of a mask)."""
+    """Nodes within ``distance`` of a point (alpha mask, buffer of a mask); where
+    both have a grid_id, of a point of the same grid."""
+    same = [c for c in ("grid_id",) if c in nodes.columns and c in points.columns]
     key = lambda c: F.floor(F.col(c) / distance).cast("long")
     offsets = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    held = points.select(F.col("x").alias("px"), F.col("y").alias("py"), key("x").alias("cx"), key("y").alias("cy"))
+    held = points.select(*same, F.col("x").alias("px"), F.col("y").alias("py"), key("x").alias("cx"), key("y").alias("cy"))
     looks = nodes.withColumn("_i", offsets).withColumn("_j", offsets).withColumns({"cx": key("x") + F.col("_i"), "cy": key("y") + F.col("_j")})
-    met = looks.join(held, ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= distance)
+    met = looks.join(held, [*same, "cx", "cy"]).filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= distance)
     return met.select(*nodes.columns).distinct()
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from .frozen import frozen
 from .quantiles import quantiles
 
 
@@ -148,9 +149,10 @@ def log_level(df: DataFrame, text: str, threshold: str) -> DataFrame:
 
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
     """Dense ``row_id`` from 0 by a total order, without gathering rows: ranges
-    of the order are numbered by themselves and shifted by the earlier counts."""
+    of the order are numbered by themselves and shifted by the earlier counts.
+    The dealt rows are frozen first: counts and rows must see the same ranges."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    dealt = dealt.withColumns({"_part": F.shiftright("_mid", 33), "_in": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_mid")
+    dealt = frozen(dealt).withColumns({"_part": F.shiftright("_mid", 33), "_in": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_mid")
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     sizes = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(sizes), "_part").withColumn("row_id", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")

@@ -633,7 +633,8 @@ def nearest_grid(s, d):
 def hull_mask(s, d):
     """Every node with whether it lies on or inside the hull of the points."""
     nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
-    return nodes.select("iy", "ix", grid.inside_hull(grid.hull_points(views.points(s, d))).alias("inside"))
+    hull = grid.hull_points(views.points(s, d))  # one row
+    return nodes.crossJoin(F.broadcast(hull)).select("iy", "ix", grid.inside_hull(F.col("corners")).alias("inside"))
 
 
 _CELLS = "segment AS grid_id, trace_no AS iy, k AS ix"

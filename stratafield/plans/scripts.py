@@ -123,8 +123,8 @@ class GridParams:
 def _gridded(points: DataFrame, p: GridParams) -> RunResult:
     cells = grid.minimum_curvature(points, p.nodes, p.nodes, p.soft, p.iterations)
     if p.boundary == "convex_hull":
-        inside = grid.inside_hull(grid.hull_points(points))
-        cells = grid.masked(cells, inside)
+        cells = cells.join(grid.hull_points(points, "grid_id"), "grid_id", "left")
+        cells = grid.masked(cells, grid.inside_hull(F.col("corners"))).drop("corners")
     elif p.boundary == "alpha_shape":
         near = survey.near_points(cells, points, survey.spacing_threshold(points, 1.0) + p.buffer)
         cells = cells.join(near.select("grid_id", "iy", "ix", F.lit(True).alias("_in")), ["grid_id", "iy", "ix"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")

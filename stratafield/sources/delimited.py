@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 DELIMITERS = ";,\t|"
 HEAD = 400
@@ -69,24 +69,39 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
 
 
+def numbered_lines(lines: DataFrame, skip: int) -> DataFrame:
+    """Lines that are not blank, without the first ``skip`` of each file, with
+    ``_row_id``: dense from 0 in the order of files and lines.  Lines are numbered
+    within the blocks in which files are read; blocks are shifted by the counts
+    before them, so no line moves."""
+    seen = lines.filter(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    seen = seen.withColumn("_mid", F.monotonically_increasing_id())
+    blocks = seen.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))  # one row per block of a file
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
+    blocks = blocks.withColumn("_kept", F.col("_n") - F.least(F.col("_n"), F.greatest(F.lit(0), skip - F.col("_before"))))
+    whole = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_kept").over(whole), F.lit(0)) - (F.col("_n") - F.col("_kept")))
+    placed = seen.join(F.broadcast(blocks), ["_file", "_block"])
+    at = F.col("_mid") - F.col("_first")
+    return placed.filter(F.col("_before") + at >= skip).select("value", (F.col("_base") + at).alias("_row_id"))
+
+
 def load(spark: SparkSession, path: str, row_id: bool = True) -> tuple[DataFrame, dict[str, str]]:
-    """Table (with ``_row_id`` in file order) and metadata of one file; falls
-    back to Latin-1 where the head is not UTF-8."""
+    """Table (with a dense ``_row_id`` in file order) and metadata of one file, or
+    of a folder of files with one layout; falls back to Latin-1 where the head is
+    not UTF-8."""
     lines = head(spark, path)
     encoding = "ISO-8859-1" if any("�" in x for x in lines) else "UTF-8"
     start, metadata = find_header(lines)
     sep = find_delimiter(lines[start:])
     has_names = not all(is_number(c) or not c for c in lines[start].split(sep)) if lines else False
-    raw = _lines(spark, path, encoding).select("value", F.monotonically_increasing_id().alias("_row_id"))
     names = [c.strip() or f"_c{i}" for i, c in enumerate(lines[start].split(sep))] if has_names else [f"c{i}" for i in range(len(lines[start].split(sep)) if lines else 0)]
     if not names:
         return spark.createDataFrame([], "_row_id long"), metadata
     unique = [c if names.index(c) == i else f"{c}_{i}" for i, c in enumerate(names)]
-    text = raw.filter(F.length(F.trim("value")) > 0)
-    if len(lines) < HEAD:
-        text = text.coalesce(1)
-    skip = start + has_names
-    numbered = text.filter(F.col("_row_id") >= skip)
+    skip = sum(bool(x.strip()) for x in lines[:start]) + has_names
+    numbered = numbered_lines(_lines(spark, path, encoding), skip)
     cells = F.split("value", re.escape(sep))
     table = numbered.select("_row_id", *[F.trim(F.get(cells, F.lit(i))).alias(c) for i, c in enumerate(unique)])
     kept = drop_blank_columns(table.drop("_row_id"))

@@ -135,7 +135,10 @@ def test_savitzky_golay_keeps_a_parabola():
 def test_permittivity_of_its_own_reflectivity():
     for e in (5.0, 9.3, 20.0):
         r = abs((1 - e**0.5) / (1 + e**0.5))
-        assert radar.permittivity(r) == pytest.approx(e, rel=0.05)
+        assert radar.permittivity(r) == pytest.approx(e, abs=0.01)
+    assert radar.permittivity(1.0) == 80 and radar.permittivity(0.0) == 1
+    with pytest.raises(ValueError):
+        radar.permittivity(1.2)
 
 
 def test_migration_collapses_a_diffraction(spark):

@@ -194,7 +194,7 @@ def test_radar_edges(spark):
 def test_hull_mask_and_steps(spark):
     pts = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], "x double, y double")
     nodes = spark.createDataFrame([(0.2, 0.2, 1.0), (0.9, 0.9, 5.0), (0.5, 0.5, 9.0)], "x double, y double, value double")
-    out = grid.masked(nodes, grid.inside_hull(grid.hull_points(pts)), 2.0, 8.0)
+    out = grid.masked(nodes.crossJoin(grid.hull_points(pts)), grid.inside_hull(F.col("corners")), 2.0, 8.0)
     assert sorted((r["x"], r["value"]) for r in out.collect()) == [(0.2, 2.0), (0.5, 8.0), (0.9, None)]
     assert grid.influence_radius(100, 10, 10, 0.1, 0.1) == pytest.approx(1.0)
 

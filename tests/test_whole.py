@@ -70,3 +70,51 @@ def test_curvature_grids_have_the_default_mesh(spark, sf, monkeypatch, name, sof
     monkeypatch.setattr(grid, "minimum_curvature", lambda points, *args: asked.append(args) or views.grid(spark, sf).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}))
     catalog.queries()[name](spark, sf)
     assert asked == [(scripts.GridParams.nodes, scripts.GridParams.nodes, soft, scripts.GridParams.iterations)]
+
+
+def test_row_ids_of_a_file_of_many_splits(spark, tmp_path):
+    """Dense in file order, whatever the splits and partitions."""
+    from stratafield.operators import tables
+    from stratafield.sources import delimited
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(2):
+        lines = ["date: 2020-01-01", "", "Timestamp [ms];a;b;c"] + [f"{part * 50_000 + i};{i % 7};{'x' * 20};{i}" + "\n" * (i % 1000 == 0) for i in range(50_000)]
+        (folder / f"{part}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150000")
+    try:
+        table, meta = delimited.load(spark, str(folder))
+        rows = table.select("_row_id", F.col("`Timestamp [ms]`").cast("long").alias("t")).collect()
+        assert table.rdd.getNumPartitions() > 4 and meta["date"] == "2020-01-01"
+        assert len(rows) == 100_000 and all(r["_row_id"] == r["t"] for r in rows)
+        assert tables.row_range(table, "_row_id", 99_998, 100_005).count() == 2
+        assert tables.every_kth(table, "_row_id", 1000).count() == 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_masks_stay_within_their_grid(spark):
+    """Two surveys side by side: neither hull nor points of one mask the other."""
+    from stratafield.operators import survey
+
+    points = spark.createDataFrame([(g, 10.0 * g + x, y, 1.0 + x + y) for g in (0, 1) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.3, 0.3), (0.2, 0.6))], "grid_id long, x double, y double, z double")
+    hulls = {r["grid_id"]: r["corners"] for r in grid.hull_points(points, "grid_id").collect()}
+    assert sorted(hulls[1]) == [[10.0, 0.0], [10.0, 1.0], [11.0, 0.0]] and len(hulls) == 2
+    out = scripts.grid_interpolator(points, scripts.GridParams(nodes=12, iterations=20)).data.collect()
+    for r in out:
+        inside = r["x"] - 10 * r["grid_id"] >= -1e-9 and r["y"] >= -1e-9 and r["x"] - 10 * r["grid_id"] + r["y"] <= 1 + 1e-9
+        assert (r["value"] is not None) == inside
+    nodes = spark.createDataFrame([(0, 10.0, 0.0), (1, 10.0, 0.0)], "grid_id long, x double, y double")
+    assert [r["grid_id"] for r in survey.near_points(nodes, points, 0.1).collect()] == [1]
+
+
+def test_spacing_of_far_places(spark):
+    from stratafield.operators import survey
+
+    for places in ([(0.0, 0.0), (100.0, 0.0), (0.0, 250.0)], [(0.0, 0.0), (0.5, 0.0), (40.0, 40.0), (41.0, 40.0), (90.0, 3.0)]):
+        each = sorted(min(np.hypot(a - x, b - y) for x, y in places if (x, y) != (a, b)) for a, b in places)
+        df = spark.createDataFrame(places, "x double, y double")
+        assert survey.spacing_threshold(df, 1.0) == pytest.approx(2 * np.median(each))
+    assert survey.spacing_threshold(spark.createDataFrame([(1.0, 1.0)], "x double, y double"), 1.0, 0.3) == 0.3
