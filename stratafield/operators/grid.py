@@ -351,7 +351,7 @@ def hard_minimum_curvature(start: np.ndarray, known: np.ndarray, omega: float =
 def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Delaunay triangles (rows of point numbers) by incremental insertion."""
     n = len(x)
-    cx, cy, size = x.mean(), y.mean(), 20 * max(np.ptp(x), np.ptp(y), 1e-12)
+    cx, cy, size = x.mean(), y.mean(), 20_000 * max(np.ptp(x), np.ptp(y), 1e-12)
     px, py = np.append(x, [cx - size, cx + size, cx]), np.append(y, [cy - size, cy - size, cy + size])
     corners = np.zeros((8 * n + 16, 3), int)
     circles = np.zeros((8 * n + 16, 3))  # centre and squared radius; a dead triangle has none

@@ -138,6 +138,20 @@ def pair_opposites(headings: list[int], tolerance: float = 30.0) -> dict[int, in
     return out
 
 
+def match_opposites(groups: DataFrame, tolerance: float = 30.0, by: str = "survey") -> DataFrame:
+    """``pair_opposites`` of each survey: (by, heading, opposite) for the rounded
+    headings of its groups in order of ``heading_group``; opposite is null for those
+    left alone.  A group is one survey's headings, 360 at most."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        heads = list(dict.fromkeys(table.sort_values("heading_group")["heading"].round().astype(int).tolist()))
+        pairs = pair_opposites(heads, tolerance)
+        return pd.DataFrame({by: table[by].iloc[0], "heading": list(pairs), "opposite": pd.array(list(pairs.values()), "Int64")})
+
+    kind = groups.schema[by].dataType.simpleString()
+    return groups.select(by, "heading_group", "heading").groupBy(by).applyInPandas(run, f"{by} {kind}, heading long, opposite long")
+
+
 def cardinal_pair(direction: Column) -> Column:
     """North and South, and so on, as one name for both."""
     pairs = {"North": "North_South", "South": "North_South", "East": "East_West", "West": "East_West", "Northeast": "Northeast_Southwest", "Southwest": "Northeast_Southwest", "Northwest": "Northwest_Southeast", "Southeast": "Northwest_Southeast"}

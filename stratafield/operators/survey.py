@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import grid
 from .frozen import frozen
 from .kinematics import line
+from .tables import long_form
 
 
 def fill_times(track: DataFrame, numeric: str, text: str, date: str) -> DataFrame:
@@ -50,6 +51,18 @@ def speed_summary(track: DataFrame) -> DataFrame:
     return track.groupBy("line_id").agg(F.min(v).alias("min_kmh"), F.max(v).alias("max_kmh"), F.avg(v).alias("mean_kmh"), F.median(v).alias("median_kmh"), F.count_if(v > 200).alias("n_fast"), F.count_if(v < 1).alias("n_slow"), minutes.alias("minutes"), F.try_divide(F.count("*").cast("double"), minutes).alias("per_minute"))
 
 
+def channel_report(rows: DataFrame, channels: list[str]) -> DataFrame:
+    """Range, mean and sample deviation of each channel that the table has."""
+    cells = long_form(rows, [c for c in channels if c in rows.columns], "channel")
+    return cells.groupBy("channel").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
+def segment_report(stats: DataFrame) -> DataFrame:
+    """One line of text per direction of ``segments.segment_statistics``."""
+    text = F.format_string("%s: %d lines, %d points, mean heading %.1f", "direction", "n_lines", "n_points", "mean_heading")
+    return stats.select("direction", text.alias("line"))
+
+
 def retention(track: DataFrame, kept: DataFrame) -> DataFrame:
     """Share of rows in segments and their duration, per line."""
     total = track.groupBy("line_id").agg(F.count("*").alias("n_all"))

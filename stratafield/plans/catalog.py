@@ -25,10 +25,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its queries
+
     return {k: f for k, (f, _) in HELD.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in HELD.items() if s}
 
 
@@ -152,7 +155,11 @@ def line_ordinals(s, d):
     return segments.line_numbers(_members(s, d).select("line_id", "start_seq", "direction").distinct()).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query()
+@query(sql("runs", f""", listed AS (SELECT line_id % 5 AS survey, row_number() OVER (PARTITION BY line_id % 5 ORDER BY line_id, start_seq) AS run_no, line_id, start_seq, (m0 + 360) % 360 AS h FROM runs),
+    walked AS (SELECT survey, 0::BIGINT AS run_no, CAST([] AS DOUBLE[]) AS heads, 0::BIGINT AS heading_group FROM (SELECT DISTINCT survey FROM listed) UNION ALL
+      SELECT survey, run_no, CASE WHEN hit IS NULL THEN list_append(heads, h) ELSE heads END, coalesce(hit, len(heads) + 1) - 1 FROM
+      (SELECT w.survey, l.run_no, heads, l.h, list_position(list_transform(heads, lambda x: least(abs(x - l.h), 360 - abs(x - l.h)) <= 10.0), true) AS hit FROM walked w JOIN listed l ON l.survey = w.survey AND l.run_no = w.run_no + 1))
+    SELECT survey, run_no, line_id, start_seq, {r6("h")} AS mean_heading, heading_group FROM walked JOIN listed USING (survey, run_no)""").replace(")\n, listed", "),\nlisted").replace("WITH track0", "WITH RECURSIVE track0", 1))
 def heading_groups(s, d):
     runs = _runs(s, d).withColumns({"survey": F.col("line_id") % 5, "run_no": F.row_number().over(Window.partitionBy(F.col("line_id") % 5).orderBy("line_id", "start_seq"))})
     return rounded(segments.group_headings(runs.select("survey", "run_no", "line_id", "start_seq", "mean_heading")), "mean_heading")
@@ -564,7 +571,8 @@ def band_pass(s, d):
     return _flat(radar.band_pass(views.traces(s, d), 1.0, 0.05, 0.2))
 
 
-@query()
+@query(sql("cells", f"""SELECT a.segment, a.trace_no, a.k, {r6("any_value(a.value) - sum(b.value * (1 / 11.0::DOUBLE + (a.k - c) * (b.k - c) / 110.0::DOUBLE + (pow(a.k - c, 2) - 10) * (pow(b.k - c, 2) - 10) / 858.0::DOUBLE))")} AS value
+    FROM (SELECT *, least(greatest(k, 5), max(k) OVER (PARTITION BY segment, trace_no) - 5) AS c FROM cells) a JOIN cells b ON a.segment = b.segment AND a.trace_no = b.trace_no AND b.k BETWEEN c - 5 AND c + 5 GROUP BY a.segment, a.trace_no, a.k"""))
 def dewow(s, d):
     return _flat(radar.dewow(views.traces(s, d)))
 
@@ -574,7 +582,9 @@ def deconvolution(s, d):
     return _flat(radar.deconvolve(views.traces(s, d), 1.0))
 
 
-@query()
+@query(sql("cells", f"""SELECT o.segment, o.trace_no, o.k, {r6("sum(i.value * CASE WHEN o.path > 0 THEN o.depth / o.path ELSE 1 END)")} AS value FROM
+    (SELECT a.segment, a.trace_no, b.trace_no AS other, k, k * 0.05::DOUBLE AS depth, sqrt(pow(k * 0.05::DOUBLE, 2) + pow((b.trace_no - a.trace_no) * 0.05::DOUBLE, 2)) AS path FROM cells a JOIN traces b ON a.segment = b.segment) o
+    LEFT JOIN cells i ON i.segment = o.segment AND i.trace_no = o.other AND i.k = CAST(round_even(2 * o.path / 0.1::DOUBLE, 0) AS BIGINT) GROUP BY o.segment, o.trace_no, o.k""".replace("AS value FROM", "AS value FROM", 1)))
 def migration(s, d):
     return _flat(radar.migrate(views.traces(s, d), 0.05, 1.0, 0.1))
 
@@ -584,12 +594,22 @@ def local_background(s, d):
     return _flat(radar.remove_local_background(views.traces(s, d)))
 
 
-@query()
+_BESSEL = "list_sum(list_transform(range(0, 40), lambda n: pow({x} / 2, 2 * n) / pow(gamma(n + 1.0::DOUBLE), 2)))"
+
+
+@query(sql("cells", f"""SELECT a.segment, a.trace_no, a.k, {r6("sum(coalesce(b.value * w, 0))")} AS value FROM (SELECT segment, trace_no, unnest(range(0, 2 * len(samples))) AS k FROM traces) a
+    JOIN (SELECT t, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 2) / (pi() * t / 2) END * {_BESSEL.format(x="(5 * sqrt(1 - pow(t / 20.0::DOUBLE, 2)))")} / {_BESSEL.format(x="5.0::DOUBLE")} AS w FROM (SELECT unnest(range(-20, 21)) AS t)) taps ON true
+    LEFT JOIN cells b ON b.segment = a.segment AND b.trace_no = a.trace_no AND 2 * b.k = a.k - t GROUP BY a.segment, a.trace_no, a.k"""))
 def upsampled(s, d):
     return _flat(radar.upsample(views.traces(s, d), 2))
 
 
-@query()
+_GAIN = "CASE WHEN f <= 0.02 THEN 0 WHEN f < 0.05 THEN (f - 0.02) / 0.03 WHEN f <= 0.2 THEN 1 WHEN f < 0.3 THEN (0.3 - f) / 0.1 ELSE 0 END"
+
+
+@query(sql("cells", f"""SELECT a.segment, a.trace_no, a.k, {r6("sum(b.value * h)")} AS value FROM cells a JOIN cells b ON a.segment = b.segment AND a.trace_no = b.trace_no JOIN
+    (SELECT n, d, sum({_GAIN} * cos(2 * pi() * m * d / n)) / n AS h FROM (SELECT n, d, m, least(m, n - m) / n::DOUBLE AS f FROM (SELECT n, unnest(range(0, n)) AS d FROM (SELECT DISTINCT len(samples) AS n FROM traces)), (SELECT unnest(range(0, 4096)) AS m) WHERE m < n) GROUP BY n, d) filter
+    ON d = (a.k - b.k + n) % n AND n = (SELECT max(len(samples)) FROM traces) GROUP BY a.segment, a.trace_no, a.k"""))
 def fir_band_pass(s, d):
     return _flat(radar.fir_band_pass(views.traces(s, d), 1.0, (0.02, 0.05, 0.2, 0.3)))
 
@@ -697,13 +717,34 @@ def contours(s, d):
     return _longs(grid.contour_cells(views.grid(s, d))).select("grid_id", "iy", "ix", F.col("level_no").cast("long").alias("level_no"))
 
 
-@query()
+_GAUSS = """shape AS (SELECT segment, max(trace_no) + 1 AS ny, max(k) + 1 AS nx FROM cells GROUP BY segment), bell AS (SELECT t, exp(-0.5 * pow(t / {s}::DOUBLE, 2)) / (SELECT sum(exp(-0.5 * pow(u / {s}::DOUBLE, 2))) FROM (SELECT unnest(range(-{r}, {r} + 1)) AS u)) AS w FROM (SELECT unnest(range(-{r}, {r} + 1)) AS t)),
+    down AS (SELECT a.segment, a.trace_no, a.k, sum(b.value * w) AS value FROM cells a JOIN shape s ON s.segment = a.segment JOIN bell ON true JOIN cells b ON b.segment = a.segment AND b.k = a.k AND b.trace_no = CASE WHEN a.trace_no + t < 0 THEN -a.trace_no - t - 1 WHEN a.trace_no + t >= ny THEN 2 * ny - 1 - a.trace_no - t ELSE a.trace_no + t END GROUP BY ALL),
+    smooth AS (SELECT a.segment, a.trace_no, a.k, sum(b.value * w) AS value FROM down a JOIN shape s ON s.segment = a.segment JOIN bell ON true JOIN down b ON b.segment = a.segment AND b.trace_no = a.trace_no AND b.k = CASE WHEN a.k + t < 0 THEN -a.k - t - 1 WHEN a.k + t >= nx THEN 2 * nx - 1 - a.k - t ELSE a.k + t END GROUP BY ALL)"""
+#: Vertical derivative of {z} by its discrete Fourier transform, one axis at a time.
+_SPECTRAL = """size AS (SELECT segment, max(trace_no) + 1 AS ny, max(k) + 1 AS nx FROM {z} GROUP BY segment),
+    f1 AS (SELECT z.segment, trace_no, u, sum(value * cos(2 * pi() * u * k / nx)) AS re, -sum(value * sin(2 * pi() * u * k / nx)) AS im FROM {z} z JOIN (SELECT segment, nx, unnest(range(0, nx)) AS u FROM size) s ON s.segment = z.segment GROUP BY ALL),
+    f2 AS (SELECT f.segment, v, u, sum(re * cos(2 * pi() * v * trace_no / ny) + im * sin(2 * pi() * v * trace_no / ny)) AS re, sum(im * cos(2 * pi() * v * trace_no / ny) - re * sin(2 * pi() * v * trace_no / ny)) AS im FROM f1 f JOIN (SELECT segment, ny, unnest(range(0, ny)) AS v FROM size) s ON s.segment = f.segment GROUP BY ALL),
+    f3 AS (SELECT f.segment, v, u, 2 * pi() * sqrt(pow(least(u, nx - u) / nx::DOUBLE, 2) + pow(least(v, ny - v) / ny::DOUBLE, 2)) AS g, re, im FROM f2 f JOIN size s ON s.segment = f.segment),
+    f4 AS (SELECT f.segment, trace_no, u, sum(g * (re * cos(2 * pi() * v * trace_no / ny) - im * sin(2 * pi() * v * trace_no / ny))) / any_value(ny) AS re, sum(g * (im * cos(2 * pi() * v * trace_no / ny) + re * sin(2 * pi() * v * trace_no / ny))) / any_value(ny) AS im FROM f3 f JOIN (SELECT segment, ny, unnest(range(0, ny)) AS trace_no FROM size) s ON s.segment = f.segment GROUP BY f.segment, trace_no, u),
+    up AS (SELECT f.segment, trace_no, k, sum(re * cos(2 * pi() * u * k / nx) - im * sin(2 * pi() * u * k / nx)) / any_value(nx) AS dz FROM f4 f JOIN (SELECT segment, nx, unnest(range(0, nx)) AS k FROM size) s ON s.segment = f.segment GROUP BY f.segment, trace_no, k),
+    slopes AS (SELECT z.*, ny, nx, CASE WHEN k = 0 THEN lead(value) OVER r - value WHEN k = nx - 1 THEN value - lag(value) OVER r ELSE (lead(value) OVER r - lag(value) OVER r) / 2 END AS gx,
+      CASE WHEN trace_no = 0 THEN lead(value) OVER c - value WHEN trace_no = ny - 1 THEN value - lag(value) OVER c ELSE (lead(value) OVER c - lag(value) OVER c) / 2 END AS gy FROM {z} z JOIN size s ON s.segment = z.segment WINDOW r AS (PARTITION BY z.segment, trace_no ORDER BY k), c AS (PARTITION BY z.segment, k ORDER BY trace_no))"""
+
+
+def _grid_sql(steps: str, body: str) -> str:
+    return sql("cells", ", " + steps + body).replace(")\n, ", "),\n")
+
+
+_SIGNALS = f"""{r6("sqrt(gx * gx + gy * gy + dz * dz)")} AS analytic_signal, {r6("atan2(dz, sqrt(gx * gx + gy * gy) + 1e-10)")} AS tilt"""
+
+
+@query(_grid_sql(_SPECTRAL.format(z="cells"), f" SELECT s.segment AS grid_id, s.trace_no AS iy, s.k AS ix, {_SIGNALS} FROM slopes s JOIN up u ON u.segment = s.segment AND u.trace_no = s.trace_no AND u.k = s.k"))
 def analytic_signal(s, d):
     derived = grid.per_grid(views.grid(s, d), lambda z: grid.derivatives(z, 1.0, 1.0), ["d_dx", "d_dy", "d_dz"])
     return _longs(rounded(grid.signals(derived), "analytic_signal", "tilt")).select("grid_id", "iy", "ix", "analytic_signal", "tilt")
 
 
-@query()
+@query(_grid_sql(_GAUSS.format(s=1, r=4), f" SELECT segment AS grid_id, trace_no AS iy, k AS ix, {r6('value')} AS value FROM smooth"))
 def gaussian_smooth(s, d):
     return _longs(rounded(grid.per_grid(views.grid(s, d), lambda z: {"value": grid.gaussian(z, 1.0)}, ["value"]), "value"))
 
@@ -908,7 +949,7 @@ def magbase_chain(s, d):
     return rounded(out.withColumns(metres), "r1", "r2", "va").select("event_id", "utm_easting1", "utm_northing1", "r1", "r2", "va")
 
 
-@query()
+@query(_grid_sql(_GAUSS.format(s=1, r=4) + ", " + _SPECTRAL.format(z="smooth"), f" SELECT s.segment AS grid_id, s.trace_no AS iy, s.k AS ix, {_SIGNALS}, {r6('sqrt(gx * gx + gy * gy)')} AS horizontal_gradient FROM slopes s JOIN up u ON u.segment = s.segment AND u.trace_no = s.trace_no AND u.k = s.k"))
 def anomaly_grid_chain(s, d):
     from .scripts import AnomalyParams, anomaly_processor
 

@@ -172,3 +172,15 @@ def test_cubic_grid_keeps_planes_points_and_slopes():
     truth = np.sin(4 * gx) * np.cos(3 * gy)
     error = lambda f: np.sqrt(np.nanmean((f(x, y, z, gx, gy) - truth) ** 2))
     assert error(grid.cubic_grid) < error(grid.linear_grid)
+
+
+@pytest.mark.parametrize("n", [3, 4, 10, 60])
+def test_triangles_cover_the_hull(n):
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        x, y = rng.random(n), rng.random(n)
+        a, b, c = (np.column_stack([x, y])[grid.triangulate(x, y)[:, k]] for k in range(3))
+        covered = np.abs((b - a)[:, 0] * (c - a)[:, 1] - (c - a)[:, 0] * (b - a)[:, 1]).sum() / 2
+        h = grid.hull(x, y)
+        after = np.roll(h, -1, axis=0)
+        assert covered == pytest.approx(abs((h[:, 0] * after[:, 1] - after[:, 0] * h[:, 1]).sum()) / 2, rel=1e-9)
