@@ -243,7 +243,7 @@ def diurnal_residual(s, d):
     return rounded(asof.diurnal(observed.withColumns({"btotal1": F.col("field"), "btotal2": F.col("k").cast("double")}), base), "r1", "r2", "va").select("event_id", "r1", "r2", "va")
 
 
-@query(_TRACK + """, w AS (SELECT event_id, t_ms FROM track WHERE event_type = 'signup' AND event_id % 10 = 0), r AS (SELECT t_ms, event_id AS row_id FROM track WHERE event_type = 'error')
+@query(_TRACK + """, w AS (SELECT event_id, t_ms FROM track WHERE event_type = 'signup'), r AS (SELECT t_ms, event_id AS row_id FROM track WHERE event_type = 'error')
     SELECT w.event_id, min_by(r.row_id, (abs(r.t_ms - w.t_ms), r.t_ms, r.row_id)) AS row_id FROM w CROSS JOIN r GROUP BY w.event_id""")
 def waypoint_lookup(s, d):
     track = views.track(s, d)
@@ -365,7 +365,7 @@ def bounds(s, d):
     return rounded(tables.bounds(views.track(s, d), "easting", "northing", ["line_id"]), "min_x", "min_y", "max_x", "max_y")
 
 
-@query(sql("track", f"SELECT {r6('min(a)')} AS min_x, {r6('max(b)')} AS max_x FROM (SELECT min(easting) AS a, max(easting) AS b FROM track WHERE line_id % 2 = 0 GROUP BY line_id)"))
+@query(sql("track", f"SELECT {r6('min(a)')} AS min_x, {r6('max(b)')} AS max_x FROM (SELECT min(easting) AS a, max(easting) AS b FROM track WHERE line_id IN (SELECT position FROM layers WHERE is_visible) GROUP BY line_id)", "layers"))
 def visible_bounds(s, d):
     """Extent of the lines whose layer is visible."""
     shown = views.layers(s, d).filter("is_visible").select(F.col("position").alias("line_id"))
@@ -649,7 +649,9 @@ def nearest_grid(s, d):
     return rounded(grid.nearest_points(nodes, views.points(s, d), 0.03).withColumnRenamed("z", "value"), "d", "value").select("iy", "ix", "d", "value")
 
 
-@query(_POINTS + f", {_NODES}" + """ SELECT count(*) AS n FROM nodes, (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS e FROM points) WHERE x BETWEEN a AND b AND y BETWEEN c AND e AND iy BETWEEN 5 AND 30 AND ix BETWEEN 5 AND 30""")
+@query(_POINTS + f", {_NODES}" + """, turns AS (SELECT iy, ix, atan2(p.y - n.y, p.x - n.x) AS a, p.x = n.x AND p.y = n.y AS met FROM nodes n, points p),
+    gaps AS (SELECT iy, ix, met, coalesce(lead(a) OVER w, first_value(a) OVER w + 2 * pi()) - a AS gap FROM turns WINDOW w AS (PARTITION BY iy, ix ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT iy, ix, max(gap) <= pi() + 1e-9 OR bool_or(met) AS inside FROM gaps GROUP BY iy, ix""")
 def hull_mask(s, d):
     """Every node with whether it lies on or inside the hull of the points."""
     nodes = s.range(40).select(F.col("id").alias("iy")).crossJoin(s.range(40).select(F.col("id").alias("ix"))).withColumns({"x": F.col("ix") / 39.0, "y": F.col("iy") / 39.0})
@@ -795,7 +797,7 @@ def layer_names(s, d):
     return rows.select("position", styling.layer_name(F.col("name"), F.col("data_type"), F.col("script")).alias("label"))
 
 
-@query(sql("layers", "SELECT position, CAST(row_number() OVER (ORDER BY z_index, position) AS BIGINT) AS place FROM layers WHERE is_visible AND position < 1000"))
+@query(sql("layers", "SELECT position, CAST(row_number() OVER (ORDER BY z_index, position) AS BIGINT) AS place FROM layers WHERE is_visible"))
 def visible_order(s, d):
     shown = layers.visible(views.layers(s, d)).select("position", "z_index")  # the keys alone, so that both looks at them share one shuffle
     return tables.with_row_id(shown, ["z_index", "position"]).select("position", (F.col("row_id") + 1).alias("place"))
