@@ -16,10 +16,13 @@ documents link when 100 * intersection >= 75 * union.  Runs are compared by
    for all documents, so the order stays one global order.
 4. *Prefixes.*  A node keeps the rarest n - ceil(0.75 n) + 1 of its n-grams.
    Those that no other node has are left out: they meet nobody.
-5. *Stars.*  Nodes that share a prefix n-gram are first compared with the
-   smallest of them only, under the length and positional filters, one pair per
+5. *Stars.*  Nodes that share a prefix n-gram are first compared with one of
+   them only (one that has the n-gram early in its order), under the length and positional filters, one pair per
    node; the suffix filter and the exact intersection decide.  Verified links
-   are contracted to components.
+   are contracted to components.  Where nodes of an n-gram still lie in several
+   components, they are compared with another one of them, in at most ``STARS``
+   turns while links are found: this merges large groups of near copies at a
+   cost in proportion to the entries.
 6. *Rest.*  Every n-gram whose nodes still lie in several components is joined
    again: pairs of nodes from different components that pass the length,
    positional and signature filters, once each, are verified.  The signature is
@@ -65,6 +68,8 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BITS = 512
 #: Nodes of an n-gram that one task joins with the others at a time.
 HOT = 4096
+#: Further turns in which an n-gram's nodes meet one of them.
+STARS = 2
 #: n-grams that a range of ``answer_frequencies`` holds, on average and at most.
 RANGE_GRAMS = 4_000_000
 SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
@@ -308,19 +313,51 @@ def meet(rest: DataFrame, hot: int = HOT) -> DataFrame:
 def link_nodes(found: DataFrame) -> DataFrame:
     """(node, root) for all nodes with a link, ``found`` as ``prefixes`` gives it."""
     entries = _by_gram(found, "node", "n")
-    hubs = entries.groupBy("gram").agg(F.min(F.struct("node", "n", "at")).alias("h"), F.max("node").alias("last")).filter("last > h.node").select("gram", "h")
+    hubs = entries.groupBy("gram").agg(F.min_by(F.struct("node", "n", "at"), F.struct(_late(), "node")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("gram", "h")
     near = entries.alias("x").join(hubs, "gram").filter("x.node != h.node AND " + _may_link("x", "h"))
-    first = materialize(near.groupBy(F.col("x.node").alias("a")).agg(F.min("h.node").alias("b")), "pairs")
-    links = materialize(verify(first, found), "verified")
+    one = near.groupBy("x.node").agg(F.min("h.node").alias("hub"))
+    tried = materialize(one.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+    links = materialize(verify(tried, found), "verified")
     roots = materialize(components(links), "roots")
+    for turn in range(STARS):
+        rest = open_entries(found, roots)
+        pairs = materialize(star_pairs(rest, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(verify(pairs, found), "verified")
+        if links.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        roots = materialize(_merged(roots, links), "roots")
+    rest = materialize(open_entries(found, roots), "rest")
+    pairs = materialize(meet(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(verify(pairs, found), "verified")
+    return roots if more.isEmpty() else _merged(roots, more)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
+
+
+def open_entries(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the n-grams whose nodes lie in several components, with the
+    n-gram's number of nodes."""
     placed = found.drop("set").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = _by_gram(placed, "root").groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("times")).filter("low < high").select("gram", "times")
-    rest = materialize(_by_gram(placed, "node", "n", "root", *SIGNATURE).join(open_, "gram"), "rest")
-    pairs = materialize(meet(rest).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verify(pairs, found), "verified")
-    if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return _by_gram(placed, "node", "n", "root", *SIGNATURE).join(open_, "gram")
+
+
+def _late() -> Column:
+    """An n-gram so late in a set's order that sets of like sizes cannot have it
+    as their first common one: such a node is a poor one to meet the others."""
+    return 7 * F.col("at") > F.col("n")
+
+
+def star_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), a > b, of every n-gram's nodes with one node of it, another
+    one in each ``turn``: no more pairs than entries."""
+    own = ["node", "n", "root", "at", *SIGNATURE]
+    hubs = rest.groupBy("gram").agg(F.min_by(F.struct(*own), F.struct(_late(), F.xxhash64("gram", "node", F.lit(turn)))).alias("h"))
+    near = rest.alias("x").join(hubs, "gram").filter("x.root != h.root AND " + _may_link("x", "h") + " AND " + _unlike("x", "h"))
+    return near.select(F.greatest("x.node", "h.node").alias("a"), F.least("x.node", "h.node").alias("b")).distinct()
 
 
 def judge(docs: DataFrame) -> DataFrame:
