@@ -5,11 +5,11 @@ n+1 and each part is sorted.  A part is two Arrow files in the shared folder:
 
 * ``part-n.ids.arrow``: the part's token stream cut into rows of ``row`` ids,
   columns ``input_ids`` (fixed-size list of the smallest unsigned type that
-  holds the vocabulary) and ``mask`` (fixed-size list of bytes, 0 on the padding
-  of the last row, else 1; packed bits could not be mapped as an array).  All
-  batches but the last have ``batch`` rows, so row r is row r % batch of batch
-  r // batch: the file footer gives its place and a memory map both its values
-  and its mask without a copy.
+  holds the vocabulary) and ``mask`` (fixed-size list of booleans, false on
+  the padding of the last row; ``row`` is a multiple of 8, so every row's bits
+  begin at a byte).  All batches but the last have ``batch`` rows, so row r is row
+  r % batch of batch r // batch: the file footer gives its place and a memory map
+  its values and its mask's packed bits without a copy.
 * ``part-n.docs.arrow``: doc_id, start within the part and n_tokens.
 
 A file is written under a name of its own attempt and then moved, so a repeated
@@ -49,7 +49,7 @@ class PartWriter:
         self.base, self.name, self.row, self.batch = base, name, row, batch
         self.attempt = TaskContext.get().taskAttemptId()
         self.kind = pa.from_numpy_dtype(dtype)
-        self.ids_schema = pa.schema([("input_ids", pa.list_(self.kind, row)), ("mask", pa.list_(pa.uint8(), row))])
+        self.ids_schema = pa.schema([("input_ids", pa.list_(self.kind, row)), ("mask", pa.list_(pa.bool_(), row))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = {k: self.fs.open_output_stream(self._path(k, True)) for k in ("ids", "docs")}
         self.ids = pa.ipc.new_file(self.out["ids"], self.ids_schema)
@@ -60,7 +60,7 @@ class PartWriter:
         return f"{self.base}/{self.name}.{kind}.arrow" + f".{self.attempt}.tmp" * own
 
     def _rows(self, values: np.ndarray, valid: int) -> None:
-        mask = (np.arange(len(values)) < valid).astype(np.uint8)
+        mask = np.arange(len(values)) < valid
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.row) for x in (values, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.ids_schema))
 
@@ -88,6 +88,8 @@ class PartWriter:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = 2, row: int = 2048, batch: int = 128, parts: int | None = None) -> list[dict]:
     """Write all documents; returns name, base (ids in earlier parts), tokens
     and docs of each part: as many rows as there are parts."""
+    if row % 8:
+        raise ValueError("row must be a multiple of 8")
     dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     dealt = dealt.repartitionByRange(parts or partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -112,14 +114,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
 
 
 def read_row(folder: str, name: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random access: ids and mask of one row, from the file's footer; both are
-    views of the mapped file where the file system is local."""
+    """Random access: ids of one row and its mask as packed bits (first id in the
+    lowest bit; ``unpacked`` gives booleans), from the file's footer; both are views
+    of the mapped file where the file system is local."""
     fs, base = _filesystem(folder)
     path = f"{base}/{name}.ids.arrow"
     file = pa.ipc.open_file(pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path))
     per = file.get_batch(0).num_rows
     batch, at = file.get_batch(number // per), number % per
-    return batch.column("input_ids")[at].values.to_numpy(), batch.column("mask")[at].values.to_numpy().view(bool)
+    ids, mask = batch.column("input_ids")[at].values, batch.column("mask")[at].values
+    bits = np.frombuffer(mask.buffers()[1], np.uint8)
+    return ids.to_numpy(), bits[mask.offset // 8 : (mask.offset + len(mask) + 7) // 8]
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, bitorder="little").astype(bool)
 
 
 def read_token_files(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
@@ -149,8 +158,8 @@ def _documents(file, docs: pa.Table, first: int):
     held, held_from, done = np.zeros(0, "<u4"), 0, 0
     for k in range(file.num_record_batches):
         batch = file.get_batch(k)
-        ids, mask = (batch.column(c).flatten().to_numpy() for c in ("input_ids", "mask"))
-        held = np.concatenate([held, ids[mask.view(bool)].astype("<u4")])
+        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("input_ids", "mask"))
+        held = np.concatenate([held, ids[mask].astype("<u4")])
         ready = int(np.searchsorted(starts + counts, held_from + len(held), side="right"))
         if ready > done:
             data = [held[a - held_from : a - held_from + n].tobytes() for a, n in zip(starts[done:ready].tolist(), counts[done:ready].tolist(), strict=True)]
