@@ -2,8 +2,8 @@
 
 Large star: every node's larger neighbours point to its smallest neighbour.
 Small star: a node and its smaller neighbours point to the smallest of them.
-Repeated until nothing changes, the links are stars around the smallest node of
-each component.  Each round is written to the shared folder; nothing is
+Repeated until every node has one smaller neighbour or only larger ones, the links
+are stars around the smallest node of each component.  Each round is written to the shared folder; nothing is
 gathered in one task or on the driver.
 """
 
@@ -27,19 +27,18 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", "m")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _open(links: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or one smaller and one larger."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("below")).union(links.select("b", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return not seen.filter("below > 1 OR (below = 1 AND least = 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link, root being the smallest
     reachable node; links (a, b) of longs, in any order, self-links allowed."""
     now = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = _state(now)
-    while state[0]:
+    while _open(now):
         now = materialize(_small(_large(now)), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(now.select("b", "b").distinct())

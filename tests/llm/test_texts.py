@@ -141,6 +141,23 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["down", "fan", "apart", "ends"])
+def test_components_by_union_find(spark, kind):
+    order = sorted(range(60), key=lambda i: hashlib.md5(str(i).encode()).digest())
+    links = {
+        "down": [(i, 100 - i) for i in range(50)],
+        "fan": [*[(99, i) for i in range(30)], *zip(order, order[1:]), (5, 5)],
+        "apart": [(a, b) for a, b in zip(order, order[7:]) if (a + b) % 3],
+        "ends": [(-5, 2**63 - 1), (2**63 - 1, -(2**63)), (1, 0), (2, 1)],
+    }[kind]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())) == root
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(1, 40))
 def test_suffix_filter_is_safe(a, b, need):
