@@ -14,6 +14,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import stratafield.llm.components as components_
 from stratafield.llm import fingerprints, media, ngram_join, personal_data, quality, queries, secrets, url_filter
 from stratafield.llm.components import components
 
@@ -141,6 +142,31 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["down", "fan", "apart", "ends"])
+def test_components_in_rounds(spark, kind, monkeypatch):
+    monkeypatch.setattr(components_, "ONE_TASK", -1)
+    test_components_by_union_find(spark, kind)
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7)], "a long, b long")
+    assert dict(map(tuple, components(links).collect())) == dict.fromkeys(range(41), 0)
+    assert written == []  # a round costs about six shuffles however few the links are
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=40))
+def test_roots_in_one_task(links):
+    node, root = components_.roots_of(*(np.array([x[i] for x in links], np.int64) for i in (0, 1)))
+    want = {x: x for pair in links for x in pair}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("kind", ["down", "fan", "apart", "ends"])
 def test_components_by_union_find(spark, kind):
     order = sorted(range(60), key=lambda i: hashlib.md5(str(i).encode()).digest())
