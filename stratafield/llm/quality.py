@@ -34,6 +34,8 @@ from .text_batches import slices, texts
 THRESHOLD = 0.3
 SAMPLE = 1500
 CHUNK = 128
+#: Bytes of text whose line features a worker holds at a time.
+FEATURED = 3 << 20
 
 CLASSES = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "space": " \t\r\v\f", "stop": ".?;:,", "bang": "!", "bar": "|", "sign": "%#*$&@~^{}[]<>=+_/\\`", "quote": "'\"()-"}
 
@@ -228,6 +230,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
     return train(np.vstack(each), np.array([len(e) for e in each]), labels_of)
 
 
+def score_batch(batch: pa.RecordBatch, chain: Chain):
+    """Runs of the batch's rows, each with the scores of its texts."""
+    for some in slices(batch, most=FEATURED):
+        x, size, counts = line_features(texts(some))
+        weight = np.maximum(size, 1)
+        first = np.cumsum(counts) - counts
+        total = np.add.reduceat(marginals(chain, x, counts) * weight, first) / np.add.reduceat(weight, first)
+        yield some, pa.array(np.clip(total, 0, 1))
+
+
 def score_documents(docs: DataFrame, chain: Chain | None, name: str = "quality_score") -> DataFrame:
     """All columns of ``docs`` with the score as ``name``, which must be new."""
     if chain is None:
@@ -236,12 +248,8 @@ def score_documents(docs: DataFrame, chain: Chain | None, name: str = "quality_s
 
     def run(batches):
         for whole in batches:
-            for some in slices(whole):
-                x, size, counts = line_features(texts(some))
-                weight = np.maximum(size, 1)
-                first = np.cumsum(counts) - counts
-                total = np.add.reduceat(marginals(chain, x, counts) * weight, first) / np.add.reduceat(weight, first)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.clip(total, 0, 1))], names)
+            for some, score in score_batch(whole, chain):
+                yield pa.RecordBatch.from_arrays([*some.columns, score], names)
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
 

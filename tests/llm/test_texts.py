@@ -4,11 +4,13 @@ and the pipeline: against brute force."""
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -557,6 +559,21 @@ def test_a_text_of_a_million_lines():
     assert len(good) == 400_002 and np.isfinite(good).all()
 
 
+def test_scores_hold_few_features_at_a_time():
+    chain = quality.Chain(np.linspace(-1, 1, quality.FEATURES), np.array([[0.5, -0.5], [-0.5, 0.5]]))
+    texts = ["\n".join(f"line {i % 7} of {j}! " + "and more " * 3 for j in range(60)) for i in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    x, size, counts = quality.line_features(batch.column("text"))
+    first = np.cumsum(counts) - counts
+    whole = np.add.reduceat(quality.marginals(chain, x, counts) * size, first) / np.add.reduceat(size, first)
+    tracemalloc.start()
+    scores = np.concatenate([score.to_numpy() for _, score in quality.score_batch(batch, chain)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 10 << 20 and peak < 120 << 20
+    assert np.allclose(scores, whole, rtol=0, atol=1e-12)
+
+
 def test_quality(spark, sf, plain, odd, empty, documents):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = queries.op9_quality(spark, "/root/testdata/sf0.1").collect()
